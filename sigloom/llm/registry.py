@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, simhash, substrings
 
 QUERIES = {
+    "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op6_language_id": langid.op6_language_id,
     "op9_simhash": simhash.op9_simhash,
 }
 SQL: dict[str, str] = {}
