@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .work import Workspace
 
@@ -229,7 +230,8 @@ def cut(docs: DataFrame, runs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(w for w, k in zip(words, keep.tolist()) if k).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([rows, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
-    schema = joined.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").cast("string").alias("kept")).schema
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    schema = T.StructType([joined.schema["row"], *more])
     return joined.mapInArrow(run, schema).select("row.*", "n_words", "n_removed", "kept")
 
 
