@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, simhash, substrings
+from . import langid, pii, simhash, substrings
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op6_language_id": langid.op6_language_id,
     "op9_simhash": simhash.op9_simhash,
