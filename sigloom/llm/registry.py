@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, pii, simhash, substrings
+from . import langid, packing, pii, simhash, substrings
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op5_packing": packing.op5_packing,
     "op6_language_id": langid.op6_language_id,
     "op9_simhash": simhash.op9_simhash,
 }
