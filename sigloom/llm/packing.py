@@ -209,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     columns = [c for c in made.columns if c != "row"]
     schema = ", ".join(f"{c} {t}" for c, t in rest.dtypes) + ", sequence_id long, offset long"
 
-    def deal(key, table: pa.Table) -> pa.Table:
+    def deal(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("row").to_numpy(), -table.column("length").to_numpy()))
         table = table.drop_columns(["packed"]).take(pa.array(order))
         sizes = table.column("length").to_numpy()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pii, simhash, substrings
+from . import bpe, langid, neighbours, packing, pii, simhash, substrings, vecdedup
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
     "op2_pii": pii.op2_pii,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op5_packing": packing.op5_packing,
     "op6_language_id": langid.op6_language_id,
+    "op7_bpe": bpe.op7_bpe,
     "op9_simhash": simhash.op9_simhash,
+    "op10_vector_dedup": vecdedup.op10_vector_dedup,
 }
 SQL: dict[str, str] = {}
