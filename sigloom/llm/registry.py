@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, neighbours, packing, pii, simhash, substrings, vecdedup
+from . import bpe, langid, lmscore, neighbours, packing, pii, simhash, substrings, templates, vecdedup
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
     "op2_pii": pii.op2_pii,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_html": templates.op4_html,
     "op5_packing": packing.op5_packing,
     "op6_language_id": langid.op6_language_id,
     "op7_bpe": bpe.op7_bpe,
+    "op8_lm_score": lmscore.op8_lm_score,
     "op9_simhash": simhash.op9_simhash,
     "op10_vector_dedup": vecdedup.op10_vector_dedup,
 }
