@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..operators import detectors as D
 from ..operators import intervals as I
 from ..operators import matching as M
 from ..operators import sampling as S
@@ -656,3 +657,55 @@ def hopping_windows(spark, sf_dir):
 def session_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "4 hours")).agg(F.min(micros("ts")).alias("first"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return rounded(e.select("user_id", "first", "n", "total"), "total", digits=4)
+
+
+# traces: one for each supplier, made of its balance; detection has no SQL
+
+
+def supplier_traces(spark, sf_dir: str) -> DataFrame:
+    """4,096 samples with a Gaussian burst whose place, frequency and width follow the supplier's key, over a faint hum."""
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    burst = X.gaussian_tone(4096, 2e6, F.lit(1.0), 20000.0 + F.pmod(key, F.lit(30)) * 1000.0, F.lit(1e-4), 1000.0 + F.pmod(key * 37, F.lit(2000)), F.lit(0.0))
+    hum = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: 0.001 * F.sin(i * i * 0.37 + key))
+    return s.select("s_suppkey", F.zip_with(burst, hum, lambda a, b: a + b).alias("signal"))
+
+
+@query("detected_events")
+def detected_events(spark, sf_dir):
+    return D.detect_events(supplier_traces(spark, sf_dir), "s_suppkey", "signal")
+
+
+@query("sliding_spectra")
+def sliding_spectra(spark, sf_dir):
+    return D.sliding_spectra(supplier_traces(spark, sf_dir), "s_suppkey", "signal", width=1024, stride=256)
+
+
+@query("noise_summary")
+def noise_summary(spark, sf_dir):
+    return D.noise_summary(supplier_traces(spark, sf_dir), "s_suppkey", "signal")
+
+
+@query("peak_groups")
+def peak_groups(spark, sf_dir):
+    return D.peak_groups(supplier_traces(spark, sf_dir), "s_suppkey", "signal")
+
+
+@query("temporal_energy")
+def temporal_energy(spark, sf_dir):
+    return D.temporal_energy(supplier_traces(spark, sf_dir), "s_suppkey", "signal")
+
+
+@query("saturation_scan")
+def saturation_scan(spark, sf_dir):
+    return D.saturation(supplier_traces(spark, sf_dir), "s_suppkey", "signal", least=200, level=1e-3)
+
+
+@query("event_descriptors")
+def event_descriptors(spark, sf_dir):
+    return D.descriptors(supplier_traces(spark, sf_dir), "s_suppkey", "signal", 2e6)
+
+
+@query("band_energy")
+def band_energy(spark, sf_dir):
+    return D.band_energy(supplier_traces(spark, sf_dir), "s_suppkey", "signal", 2e6, [("low", 0.0, 7e3), ("band", 7e3, 8e4), ("high", 8e4, 1e6)])
