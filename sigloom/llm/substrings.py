@@ -6,7 +6,7 @@ equals). Equal windows have the same anchor at the same offset, so a window can
 only repeat if its anchor does, and an eighth of all positions is enough for
 the first level. Anchors that repeat are extended to twice their length, to the
 right and to the left; those whose extension repeats too are extended to the
-whole windows around them, and these alone are compared in full, by 128 bits.
+whole windows around them, and these alone are compared in full, by 96 bits.
 Where no candidate survives a level, the ladder ends.
 
 Counts are combined before each shuffle; candidates meet the counts in joins
@@ -79,9 +79,9 @@ def _first_level(window: int):
     base = window // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = dict.fromkeys(("h", "doc_id", "r", "l"), pa.int64()) | {"pos": pa.int32()}
+        types = {"h": pa.int64(), "doc_id": pa.int64(), "pos": pa.int32(), "sides": pa.int64()}
         for batch in batches:
-            out: dict[str, list] = {"h": [], "doc_id": [], "pos": [], "r": [], "l": []}
+            out: dict[str, list] = {k: [] for k in types}
             held = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
@@ -94,8 +94,8 @@ def _first_level(window: int):
                 right, left = np.minimum(at, len(two) - 1), np.maximum(at - base, 0)
                 out["h"].append(one[at].view(np.int64))
                 out["pos"].append(at)
-                out["r"].append(two[right].view(np.int64))
-                out["l"].append(two[left].view(np.int64))
+                # beside h, half a hash tells extensions apart: 96 bits in all
+                out["sides"].append(((two[right] >> _S << _S) | (two[left] >> _S)).view(np.int64))
                 out["doc_id"].append(np.full(len(at), doc))
                 held += len(at)
                 if held > HELD:
@@ -130,10 +130,9 @@ def _last_level(window: int):
         order = np.lexsort((s, d))
         rd, lo, hi = _runs(d[order], s[order])
         k, m = int(new.sum()), len(rd)
-        null = lambda n: pa.nulls(n, pa.int64())
         cols = [
-            pa.concat_arrays([pa.array(h1[new].view(np.int64)), null(m)]),
-            pa.concat_arrays([pa.array(h2[new].view(np.int64)), null(m)]),
+            pa.concat_arrays([pa.array(h1[new].view(np.int64)), pa.nulls(m, pa.int64())]),
+            pa.concat_arrays([pa.array(h2[new].view(np.int32)), pa.nulls(m, pa.int32())]),
             pa.array(np.concatenate([doc[new], rd])),
             pa.array(np.concatenate([start[new], lo]).astype(np.int32)),
             pa.array(np.concatenate([start[new], hi]).astype(np.int32)),
@@ -150,7 +149,7 @@ def _last_level(window: int):
                 w = _hash(words)
                 with np.errstate(over="ignore"):
                     one, _, h1 = _grams(w, base, _C1)
-                    h2 = _mix(_grams(_mix(w ^ _C2), base, _C2)[2])
+                    h2 = (_mix(_grams(_mix(w ^ _C2), base, _C2)[2]) >> _S).astype(np.uint32)
                     one, h1 = _mix(one), _mix(h1)
                 m = marks.values.to_numpy(zero_copy_only=False)
                 right, left = np.zeros(len(one), bool), np.zeros(len(one), bool)
@@ -178,24 +177,30 @@ def removals(ws: Workspace, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     none = spark.createDataFrame([], "doc_id long, runs array<struct<lo:int,hi:int>>")
-    anchors = ws.table(named.mapInArrow(_first_level(window), "h long, doc_id long, pos int, r long, l long"))
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    second = ws.table(anchors.join(often, "h", "left_semi").select("doc_id", "pos", "r", "l"))
-    ws.drop(anchors)
+    anchors = ws.table(named.mapInArrow(_first_level(window), "h long, doc_id long, pos int, sides long"))
+    # counts are written first: Spark can split a frequent anchor's rows only where both sides of a join are plain tables
+    often = ws.table(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    ws.sweep()
+    second = ws.table(anchors.join(often, "h", "left_semi").select("h", "doc_id", "pos", "sides"))
+    ws.drop(anchors, often)
     if second.isEmpty():
         return none
-    sides = second.select("doc_id", "pos", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("r").alias("g")), F.struct(F.lit(2).alias("side"), F.col("l").alias("g")))).alias("x")).select("doc_id", "pos", "x.side", "x.g")
-    often = sides.groupBy("side", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side", "g")
-    third = sides.join(often, ["side", "g"], "left_semi")
+    side = lambda k, g: F.struct(F.lit(k).alias("side"), g.cast("int").alias("g"))
+    both = F.array(side(1, F.shiftright("sides", 32)), side(2, F.shiftright(F.shiftleft("sides", 32), 32)))
+    longer = second.select("h", "doc_id", "pos", F.explode(both).alias("x")).select("h", "x.side", "x.g", "doc_id", "pos")
+    often = ws.table(longer.groupBy("h", "side", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    third = longer.join(often, ["h", "side", "g"], "left_semi")
     marks = ws.table(third.groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.shiftleft("pos", 2) + F.col("side"))).alias("marks")))
-    ws.drop(second)
+    ws.drop(second, often)
     if marks.isEmpty():
         return none
-    found = ws.table(named.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_last_level(window), "h1 long, h2 long, doc_id long, lo int, hi int"))
+    found = ws.table(named.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_last_level(window), "h1 long, h2 int, doc_id long, lo int, hi int"))
     ws.drop(marks)
-    whole = found.where("h1 is not null").select("h1", "h2", F.struct("doc_id", "lo").alias("at"))
+    whole = found.where("h1 is not null").select("h1", "h2", "doc_id", "lo")
     # a window has a row of each task that held it at most, so its group is bounded by the tasks
-    late = whole.withColumn("first", F.min("at").over(Window.partitionBy("h1", "h2"))).where("at > first").select("at.doc_id", "at.lo", F.col("at.lo").alias("hi"))
+    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "lo")
+    first = whole.select("doc_id", "lo", F.first("doc_id").over(order).alias("d"), F.first("lo").over(order).alias("p"))
+    late = first.where("doc_id != d or lo != p").select("doc_id", "lo", F.col("lo").alias("hi"))
     runs = late.union(found.where("h1 is null").select("doc_id", "lo", "hi"))
     out = ws.table(runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
     ws.drop(found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,7 @@ class Workspace:
         self.sweep()
 
     def sweep(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of finished steps."""
+        """Let Spark's cleaner remove the shuffle files of finished steps; it works in the background."""
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(0.5)
