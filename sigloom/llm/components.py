@@ -45,7 +45,7 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
             break
         last = mark
         new = ws.table(_star(_star(cur, True), False))
-        ws.drop(cur)
+        ws.drop(cur, sweep=False)
         cur = new
     nodes = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -257,13 +257,13 @@ def label(docs: DataFrame, model: Model | None) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for each row of ``docs(doc_id, text, lang, ...)``.
 
     held_out says that crc32 of the id is a multiple of 5 (false for a null id);
     those rows, rows without a language and null texts are not learned from.
     """
-    model = train(training_sample(docs))
+    model = train(training_sample(docs), steps=steps)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "text")
     return label(rows, model).drop("text")
 

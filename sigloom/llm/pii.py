@@ -144,7 +144,7 @@ def discover(ws: Workspace, scanned: DataFrame) -> DataFrame:
         joined = scores.join(inferred, "instance", "left")
         update = [F.when(F.col("seeded"), F.col(f"s{k}")).otherwise(F.coalesce(F.col(f"i{k}"), F.lit(0.0))).alias(f"s{k}") for k in range(len(KINDS))]
         new = ws.table(joined.select("instance", *update, "seeded"))
-        ws.drop(scores)
+        ws.drop(scores, sweep=False)
         scores = new
     best = F.array_max(F.array(*[F.struct(F.col(f"s{k}").alias("score"), F.lit(-k).alias("k")) for k in range(len(KINDS))]))
     accepted = scores.where(~F.col("seeded")).select("instance", best.alias("best")).where(F.col("best.score") >= ACCEPT).select("instance", (-F.col("best.k")).alias("kind"))

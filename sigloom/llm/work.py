@@ -45,16 +45,22 @@ class Workspace:
         out._sigloom_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete written tables, and shuffle files that nothing refers to any more."""
+    def drop(self, *tables: DataFrame, sweep: bool = True) -> None:
+        """Delete written tables, and shuffle files that nothing refers to any more (small ones can wait)."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t._sigloom_path)
             p.getFileSystem(conf).delete(p, True)
-        self.sweep()
+        if sweep:
+            self.sweep()
 
     def sweep(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of finished steps; it works in the background."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.5)
+        """Let Spark's cleaner remove the shuffle files of finished steps.
+
+        It works in the background, and what refers to a shuffle goes in one
+        collection, the shuffle in the next.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.4)

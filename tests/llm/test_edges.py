@@ -36,7 +36,7 @@ OPERATORS = {
     "substrings": lambda d: substrings.remove_repeats(d),
     "templates": lambda d: templates.extract(pages(d)),
     "packing": lambda d: packing.pack(d, BYTES),
-    "langid": lambda d: langid.identify(d),
+    "langid": lambda d: langid.identify(d, steps=60),
     "bpe": lambda d: bpe.digests(d, WORDS),
     "encode": lambda d: bpe.decode(bpe.encode(d, WORDS), WORDS),
     "lmscore": lambda d: lmscore.score(d, d.where("doc_id < 7")),
@@ -62,7 +62,7 @@ def test_empty_tables(none, name):
 def test_defined_results(odd):
     n = {r.doc_id: r for r in substrings.remove_repeats(odd).collect()}
     assert (n[1].n_words, n[2].n_removed, n[9].n_removed, n[8].n_removed > 0) == (0, 0, 30000, True)
-    lang = {r.doc_id: r for r in langid.identify(odd).collect()}
+    lang = {r.doc_id: r for r in langid.identify(odd, steps=60).collect()}
     assert all(lang[i].lang_pred == "und" and lang[i].score == 0 for i in (1, 2, 3, 11))
     score = {r.doc_id: r for r in lmscore.score(odd, odd.where("doc_id < 7")).collect()}
     assert score[1].score is None and score[1].n_tokens == 0 and score[6].score is not None
