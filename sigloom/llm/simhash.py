@@ -111,17 +111,15 @@ def links(ws: Workspace, fps: DataFrame, radius: int = RADIUS, bucket: int = BUC
         if not full:
             break
         hot = rows.join(counts.where(~fine).select("tag", "key"), ["tag", "key"])
-        finer, parts = {}, []
+        finer, masks = {}, []
         for t in full:
             mask, free = tables[t]
             for v, m in enumerate(covering_masks(free, radius)):
                 finer[f"{t}.{v}"] = (mask | m, [i for i in free if not m >> i & 1])
-        for t in full:
-            mine = [(k, m) for k, (m, _) in finer.items() if k.rpartition(".")[0] == t]
-            parts.append(_spread(hot.where(F.col("tag") == t).select("fp").distinct(), mine))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.union(p)
+                masks.append((t, f"{t}.{v}", _signed(mask | m)))
+        # at most 15 rows for each table of the level before, of which there are 15, 225 or 3,375
+        known = F.broadcast(fps.sparkSession.createDataFrame(masks, "tag string, finer string, mask long"))
+        rows = hot.select("tag", "fp").distinct().join(known, "tag").select(F.col("finer").alias("tag"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         rows, tables = ws.table(rows), finer
     out = found[0]
     for f in found[1:]:

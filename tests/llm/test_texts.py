@@ -59,7 +59,7 @@ def test_fingerprint_by_definition():
         assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
-@pytest.mark.parametrize("bucket", [512, 2])
+@pytest.mark.parametrize("bucket", [512, 8])
 def test_links_are_exact_at_any_bucket_size(spark, bucket):
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 63, 30, np.int64)
@@ -234,7 +234,7 @@ def test_models_are_distributions_and_tell_texts_apart(spark):
     assert np.allclose(np.exp(m[[0, 97 << 8 | 98, 5]].astype(float)).sum(1), 1, atol=1e-5)
     docs = documents(spark, ["good words are here " * 5] * 20 + ["ZZ!! QQ!! " * 9] * 20)
     got = {r.doc_id: r for r in lmscore.score(docs, docs.where("doc_id < 10")).collect()}
-    assert max(got[i].score for i in range(20)) < 0 < min(got[i].score for i in range(20, 40))
+    assert max(got[i].score for i in range(20)) < 0.05 and min(got[i].score for i in range(20, 40)) > 1
 
 
 def test_pipeline_against_plain_stages(spark, small):
