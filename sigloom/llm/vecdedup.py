@@ -8,8 +8,10 @@ goes if a kept one is closer to it, by a factor, than the row is), adjacency
 lists are united with their reverses, and every row is sought by greedy search
 from the medoid; from what it reaches, and from the row itself, the search widens along
 edges to everything within the range. What it finds is verified by the cosine
-in double precision. A pair that meets in several shards counts in the first
-one both have in common. Groups give counts and a spanning forest, never pairs.
+in double precision. Groups give spanning forests, never pairs; the forests of all
+shards are one edge table, whose components cross from shard to shard. Within a
+component every two rows meet once and the links are counted, whichever group found
+them, or none.
 
 The links of a bounded set of rows are audited by brute force; while recall is
 short of ``RECALL``, the shards overlap more and the graph gets denser.
@@ -157,8 +159,16 @@ def _forest(found: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _links(ws: Workspace, classes: DataFrame, total: int, cosine: float, overlap: int, degree: int) -> DataFrame:
-    """``(vec_id, n, other)``: rows with n add to a class's links, rows with other link two classes."""
+def _paired(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with own of their ``pieces`` and every pair (i, j) of pieces that own is in: any two rows of a key meet in one pair."""
+    own = F.pmod(F.xxhash64("vec_id", F.lit("piece")), F.col("pieces")).cast("int")
+    pair = lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"))
+    met = rows.withColumn("own", own).withColumn("met", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), pair)))
+    return met.select(key, "met.i", "met.j", "own", "vec_id", "vec", "copies")
+
+
+def _edges(ws: Workspace, classes: DataFrame, total: int, cosine: float, overlap: int, degree: int) -> DataFrame:
+    """``(a, b)``: links of classes that span the components of what is found in each group of each shard."""
     k = int(max(1, min(CLUSTERS, round(total / SHARD))))
     pool = unit(sample(classes, SAMPLE, total, "clusters")[1]) if k > 1 else None
     centres = kmeans(pool, min(k, len(pool))) if k > 1 else None
@@ -168,42 +178,42 @@ def _links(ws: Workspace, classes: DataFrame, total: int, cosine: float, overlap
         for b in batches:
             if b.num_rows:
                 m = unit(matrix(b.column(1)))
-                homes = np.sort(np.argpartition(-(m @ centres.T), over - 1, axis=1)[:, :over], axis=1) if k > 1 else np.zeros((len(m), 1), np.int64)
+                homes = np.argpartition(-(m @ centres.T), over - 1, axis=1)[:, :over] if k > 1 else np.zeros((len(m), 1), np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(homes.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["vec_id", "vec", "copies", "homes"])
 
     placed = ws.table(classes.select("vec_id", "vec", "copies").mapInArrow(assign, "vec_id long, vec array<double>, copies long, homes array<int>"))
     rows = placed.withColumn("shard", F.explode("homes"))
     sizes = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    rows = rows.join(F.broadcast(sizes), "shard")  # a row for each cluster, of CLUSTERS at most
-    own = F.pmod(F.xxhash64("vec_id", F.lit("piece")), F.col("pieces")).cast("int")
-    pair = lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"))
-    met = rows.withColumn("own", own).withColumn("met", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), pair)))
-    met = met.select("shard", "met.i", "met.j", "own", "vec_id", "vec", "copies", "homes")
+    met = _paired(rows.join(F.broadcast(sizes), "shard"), "shard")  # a size for each cluster, of CLUSTERS at most
 
     def seek(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        shard, i, j = (k.as_py() for k in key)
-        order = np.argsort(group.column("vec_id").to_numpy(), kind="stable")
-        group = group.take(pa.array(order))
+        group = group.take(pa.array(np.argsort(group.column("vec_id").to_numpy(), kind="stable")))
+        a, b = _forest(range_search(unit(matrix(group.column("vec"))), cosine, degree), group.column("vec_id").to_numpy())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return ws.table(met.groupBy("shard", "i", "j").applyInArrow(seek, "a long, b long"))
+
+
+def _counts(ws: Workspace, classes: DataFrame, comps: DataFrame, cosine: float) -> DataFrame:
+    """``(vec_id, n)``: every class's links within its component, copies included, whichever shards its members were in."""
+    rows = ws.table(classes.join(comps.select(F.col("node").alias("vec_id"), "component"), "vec_id").select("component", "vec_id", "vec", "copies"))
+    sizes = rows.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")).where("pieces > 1")
+    met = _paired(rows.join(F.broadcast(sizes), "component", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))), "component")
+
+    def count(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         ids, copies, piece = (group.column(c).to_numpy() for c in ("vec_id", "copies", "own"))
-        found = range_search(unit(matrix(group.column("vec"))), cosine, degree)
-        if i != j:
-            found &= piece[:, None] != piece[None, :]
-        a, b = np.nonzero(np.triu(found))
-        if len(a):
-            homes = matrix(group.column("homes")).astype(np.int64)
-            for p in range(0, len(a), 1 << 17):
-                x, y = homes[a[p : p + (1 << 17)]], homes[b[p : p + (1 << 17)]]
-                both = np.where((x[:, :, None] == y[:, None, :]).any(2), x, np.iinfo(np.int64).max).min(1)
-                other = both != shard  # counted in a shard before this one
-                found[a[p : p + (1 << 17)][other], b[p : p + (1 << 17)][other]] = False
-                found[b[p : p + (1 << 17)][other], a[p : p + (1 << 17)][other]] = False
-        n = found @ copies
-        at = np.flatnonzero(n)
-        fa, fb = _forest(found, ids)
-        null = pa.nulls(len(fa), pa.int64())
-        return pa.table({"vec_id": pa.concat_arrays([pa.array(ids[at], pa.int64()), pa.array(fa, pa.int64())]), "n": pa.concat_arrays([pa.array(n[at], pa.int64()), null]), "other": pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(fb, pa.int64())])})
-
-    return ws.table(met.groupBy("shard", "i", "j").applyInArrow(seek, "vec_id long, n long, other long"))
+        x, n = unit(matrix(group.column("vec"))), np.zeros(len(ids), np.int64)
+        one = np.flatnonzero(piece == key[1].as_py())
+        two = np.flatnonzero(piece == key[2].as_py())
+        for p in range(0, len(one), 512):
+            at = one[p : p + 512]
+            link = (x[at] @ x[two].T >= cosine) & (at[:, None] != two)
+            n[at] += link @ copies[two]
+            if key[1] != key[2]:
+                n[two] += copies[at] @ link
+        return pa.table({"vec_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return ws.table(met.groupBy("component", "i", "j").applyInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")))
 
 
 def _audit(classes: DataFrame, ids: np.ndarray, queries: np.ndarray, cosine: float) -> dict[int, int]:
@@ -234,21 +244,22 @@ def near_duplicates(table: DataFrame, column: str = "embedding", cosine: float =
     classes = ws.table(rows.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
     total = classes.count()
     recall = 1.0
-    links = None
+    edges = table.sparkSession.createDataFrame([], "a long, b long")
+    comps = counts = None
     if total:
         ids, q = sample(classes, AUDIT, total, "audit")
         truth = _audit(classes, ids, q, cosine)
         for overlap, degree in zip(OVERLAPS, DEGREES):
-            links = _links(ws, classes, total, cosine, overlap, degree)
-            got = {r.vec_id: r.n for r in links.where(F.col("n").isNotNull() & F.col("vec_id").isin(list(truth))).groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
+            edges = edges.union(_edges(ws, classes, total, cosine, overlap, degree))  # a later level adds to what is found
+            comps = ws.table(connected_components(ws, edges))
+            counts = _counts(ws, classes, comps, cosine)
+            got = {r.vec_id: r.n for r in counts.where(F.col("vec_id").isin(list(truth))).collect()}
             wanted = sum(truth.values())
             recall = sum(min(got.get(i, 0), n) for i, n in truth.items()) / wanted if wanted else 1.0
             if recall >= RECALL:
                 break
-    if links is None:
-        links = table.sparkSession.createDataFrame([], "vec_id long, n long, other long")
-    comps = connected_components(ws, links.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    counts = links.where("n is not null").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    if comps is None:
+        comps, counts = edges.selectExpr("a as node", "b as component"), edges.selectExpr("a as vec_id", "b as n")
     done = classes.join(counts, "vec_id", "left").join(comps.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     done = done.select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     each = rows.join(done, "vec").select("vec_id", "n_links", "component_id")

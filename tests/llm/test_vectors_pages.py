@@ -59,6 +59,19 @@ def test_links_against_brute_force(spark, clustered, piece, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_links_cross_shards(spark, monkeypatch):
+    """Rows on an arc in shards of few rows and a single home: most links have ends in different shards, some through a third one."""
+    monkeypatch.setattr(vecdedup, "SHARD", 25)
+    monkeypatch.setattr(vecdedup, "PIECE", 32)
+    monkeypatch.setattr(vecdedup, "OVERLAPS", (2,))
+    monkeypatch.setattr(vecdedup, "DEGREES", (16,))
+    angle = np.linspace(0, 1.5, 400)
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    got = sorted(vecdedup.near_duplicates(table(spark, x)).collect())
+    assert [r.n_links for r in got] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+    assert {r.component_id for r in got} == {0}
+
+
 def page(i, body, extra=""):
     menu = "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(3 + i % 3))
     return f'<!DOCTYPE html><html><head><title>T {i}</title><style>p{{x:1}}</style><script>var a="</p>";</script></head><body><nav><ul>{menu}</ul></nav><div class="cookie-notice">We use cookies {i}</div>{body}<div class="comments"><p>reader says {i}</p></div>{extra}<footer>&copy; site</footer></body></html>'
