@@ -13,8 +13,12 @@ shards are one edge table, whose components cross from shard to shard. Within a
 component every two rows meet once and the links are counted, whichever group found
 them, or none.
 
-The links of a bounded set of rows are audited by brute force; while recall is
-short of ``RECALL``, the shards overlap more and the graph gets denser.
+The links of a bounded set of rows are audited by brute force. Recall is a mean
+over audited rows, once for rows with few links and once for those with many, and the
+lesser of the two counts, so that a large group does not speak for small ones. While it
+is short of ``RECALL``, the shards overlap more and the graph gets denser; when
+no level reaches it, or too few audited rows have links to tell, all rows are
+compared block by block.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ from .work import Workspace
 COSINE = 0.9
 SAMPLE, SHARD, CLUSTERS = 16384, 700, 4096
 OVERLAPS, DEGREES = (2, 4, 8), (16, 24, 48)
-#: Rows of a piece, candidates for pruning, its factor, the search's beam, audited rows.
-PIECE, NEAR, ALPHA, BEAM, AUDIT = 768, 64, 1.2, 4, 256
+#: Rows of a piece, and of one of the exact pass; candidates for pruning, its factor, the search's beam.
+PIECE, BLOCK, NEAR, ALPHA, BEAM = 768, 4096, 64, 1.2, 4
+#: Rows audited, more while too few have links: of those with links, up to FEW of them, ENOUGH have to be among the audited.
+AUDITS, FEW, ENOUGH = (256, 1024, 4096), 32, 100
 RECALL = 0.995
 
 
@@ -194,6 +200,26 @@ def _edges(ws: Workspace, classes: DataFrame, total: int, cosine: float, overlap
     return ws.table(met.groupBy("shard", "i", "j").applyInArrow(seek, "a long, b long"))
 
 
+def _all_edges(ws: Workspace, classes: DataFrame, total: int, cosine: float) -> DataFrame:
+    """``(a, b)``: links that span the components of all links there are, from every two blocks of rows."""
+    rows = classes.select(F.lit(0).alias("all"), "vec_id", "vec", "copies", F.lit(-(-total // BLOCK)).alias("pieces"))
+    met = _paired(rows, "all").drop("all")
+
+    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.argsort(group.column("vec_id").to_numpy(), kind="stable")))
+        ids = group.column("vec_id").to_numpy()
+        x = unit(matrix(group.column("vec")))
+        found = np.zeros((len(x), len(x)), bool)
+        for p in range(0, len(x), 512):
+            found[p : p + 512] = x[p : p + 512] @ x.T >= cosine
+        np.fill_diagonal(found, False)
+        found |= found.T
+        a, b = _forest(found, ids)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return ws.table(met.groupBy("i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def _counts(ws: Workspace, classes: DataFrame, comps: DataFrame, cosine: float) -> DataFrame:
     """``(vec_id, n)``: every class's links within its component, copies included, whichever shards its members were in."""
     rows = ws.table(classes.join(comps.select(F.col("node").alias("vec_id"), "component"), "vec_id").select("component", "vec_id", "vec", "copies"))
@@ -224,18 +250,38 @@ def _audit(classes: DataFrame, ids: np.ndarray, queries: np.ndarray, cosine: flo
         total = np.zeros(len(q), np.int64)
         for b in batches:
             if b.num_rows:
-                total += ((unit(matrix(b.column(1))) @ q.T >= cosine) & (b.column(0).to_numpy()[:, None] != ids[None, :])).T @ b.column(2).to_numpy()
+                x, own, copies = unit(matrix(b.column(1))), b.column(0).to_numpy(), b.column(2).to_numpy()
+                for p in range(0, len(x), 512):
+                    link = (x[p : p + 512] @ q.T >= cosine) & (own[p : p + 512, None] != ids)
+                    total += copies[p : p + 512] @ link
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["vec_id", "n"])
 
     counts = classes.select("vec_id", "vec", "copies").mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     return {r.vec_id: r.n for r in counts.collect()}
 
 
+def _truth(classes: DataFrame, total: int, cosine: float) -> tuple[dict[int, int], bool]:
+    """The true number of links of the audited classes that have any, and whether these are enough to judge by."""
+    linked: dict[int, int] = {}
+    for most in AUDITS:
+        ids, q = sample(classes, most, total, "audit")
+        linked = {i: n for i, n in _audit(classes, ids, q, cosine).items() if n} if len(ids) else {}
+        if len(ids) == total or sum(n <= FEW for n in linked.values()) >= ENOUGH:
+            return linked, True
+    return linked, False
+
+
+def mean_recall(got: dict[int, int], truth: dict[int, int]) -> float:
+    """The mean share of a row's links that was found, over rows with few links or over those with many: the lesser."""
+    parts = [[min(got.get(i, 0), n) / n for i, n in truth.items() if (n <= FEW) == few] for few in (True, False)]
+    return min((sum(p) / len(p) for p in parts if p), default=1.0)
+
+
 def near_duplicates(table: DataFrame, column: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept, recall)`` for each row of ``table``.
 
     n_links counts the other vectors whose cosine is ``cosine`` or more, as far as
-    found; recall says what share of the audited rows' true links that was.
+    found; recall says what share of an audited row's true links that was on average.
     Vectors that can't be compared link with nothing and are kept. Rows that repeat an id
     are one vector, each answered alike; a row without an id has no component.
     """
@@ -247,15 +293,15 @@ def near_duplicates(table: DataFrame, column: str = "embedding", cosine: float =
     edges = table.sparkSession.createDataFrame([], "a long, b long")
     comps = counts = None
     if total:
-        ids, q = sample(classes, AUDIT, total, "audit")
-        truth = _audit(classes, ids, q, cosine)
-        for overlap, degree in zip(OVERLAPS, DEGREES):
-            edges = edges.union(_edges(ws, classes, total, cosine, overlap, degree))  # a later level adds to what is found
+        truth, telling = _truth(classes, total, cosine)
+        for overlap, degree in [*zip(OVERLAPS, DEGREES), (None, None)] if telling else [(None, None)]:
+            if overlap is None:
+                edges = _all_edges(ws, classes, total, cosine)
+            else:
+                edges = edges.union(_edges(ws, classes, total, cosine, overlap, degree))  # a later level adds to what is found
             comps = ws.table(connected_components(ws, edges))
             counts = _counts(ws, classes, comps, cosine)
-            got = {r.vec_id: r.n for r in counts.where(F.col("vec_id").isin(list(truth))).collect()}
-            wanted = sum(truth.values())
-            recall = sum(min(got.get(i, 0), n) for i, n in truth.items()) / wanted if wanted else 1.0
+            recall = mean_recall({r.vec_id: r.n for r in counts.where(F.col("vec_id").isin(list(truth))).collect()} if truth else {}, truth)
             if recall >= RECALL:
                 break
     if comps is None:

@@ -72,6 +72,36 @@ def test_links_cross_shards(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_lost_small_groups_are_not_hidden_by_a_large_one(spark, monkeypatch):
+    """One group holds a third of the rows; nothing of the pairs is found by the shards, so that all rows are compared."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((200, 24))
+    x = np.concatenate([base, base + 0.02 * rng.standard_normal(base.shape), rng.standard_normal(24) + 0.02 * rng.standard_normal((200, 24))])
+    search = vecdedup.range_search
+
+    def poor(x, cosine, degree):
+        found = search(x, cosine, degree)
+        found[found.sum(1) < 20] = False
+        return found & found.T
+
+    monkeypatch.setattr(vecdedup, "range_search", poor)
+    got = sorted(vecdedup.near_duplicates(table(spark, x)).collect())
+    assert [r.n_links for r in got] == [1] * 400 + [199] * 200 and {r.recall for r in got} == {1.0}
+
+
+def test_an_audit_without_links_decides_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((400, 24))
+    x[7] = x[300] + 0.01
+    monkeypatch.setattr(vecdedup, "range_search", lambda x, cosine, degree: np.zeros((len(x), len(x)), bool))
+    if hasattr(vecdedup, "AUDITS"):
+        monkeypatch.setattr(vecdedup, "AUDITS", (16,))
+    else:
+        monkeypatch.setattr(vecdedup, "AUDIT", 16)
+    got = sorted(vecdedup.near_duplicates(table(spark, x)).collect())
+    assert [r.vec_id for r in got if r.n_links] == [7, 300]
+
+
 def page(i, body, extra=""):
     menu = "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(3 + i % 3))
     return f'<!DOCTYPE html><html><head><title>T {i}</title><style>p{{x:1}}</style><script>var a="</p>";</script></head><body><nav><ul>{menu}</ul></nav><div class="cookie-notice">We use cookies {i}</div>{body}<div class="comments"><p>reader says {i}</p></div>{extra}<footer>&copy; site</footer></body></html>'
