@@ -126,3 +126,19 @@ def test_copies_of_one_page_are_not_a_template(spark):
     h = page(1, "<article><p>the same story</p></article>")
     df = spark.createDataFrame([(i, "http://c.example/", h) for i in range(20)], "page_id long, url string, html string")
     assert {r.text for r in templates.extract(df).collect()} == {"the same story"}
+
+
+def extracted(spark, htmls, url="http://d.example/"):
+    df = spark.createDataFrame([(i, url, h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in templates.extract(df).collect()}
+
+
+def test_the_template_decides_inside_articles(spark):
+    line = '<div class="box9"><p>Get our letter every week</p></div>'
+    pages = [page(i, f"<article class=a{i % 2}><h1>Title {i}</h1><p>Story {i} {'tale ' * 9}</p>{line}</article><article id=more><p>Part two of {i}</p></article>") for i in range(12)]
+    assert extracted(spark, pages)[4] == f"Title 4\n\nStory 4 {'tale ' * 9}".strip() + "\n\nPart two of 4"
+
+
+def test_near_copies_keep_what_they_share(spark):
+    pages = [page(i, f"<article><h1>Number {i}</h1><p>{'The same long story. ' * 8}</p><p>And its end.</p></article>") for i in range(12)]
+    assert extracted(spark, pages)[4] == f"Number 4\n\n{'The same long story. ' * 8}".strip() + "\n\nAnd its end."
