@@ -8,8 +8,8 @@ and combine before the shuffle. Tokens that share a vector, are in at least half
 the host's pages and come as three or more, tags among them, form a valid class;
 classes nest by the paths of their tags. Their text is the template; between their
 tokens lie the slots. The main text is what fills the slots of all article and main
-elements together, or, on a page without any, of the innermost template element
-that holds most of the page's text, without those of menus, notices and the like.
+elements together, or, on a page without any, all slots of the page, without
+those of menus, notices and the like.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ from .work import Workspace
 SUPPORT, LEAST, SIZE, SHORT = 0.5, 4, 3, 16
 #: The share of its main elements' text beyond which what a page shares with its site is no template but copied text.
 COPIED = 0.5
-#: The share of a page's text that the main element must hold, where no tag says which it is.
-MOST = 0.6
 
 # What HTML calls its elements.
 SKIPPED = ["script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "select", "button", "head", "title"]
@@ -199,15 +197,11 @@ def templates(ws: Workspace, pages: DataFrame) -> DataFrame:
 
 
 def main_text(html: str | None, template: frozenset[int]) -> str:
-    """The blocks that fill the slots, joined by an empty line: those of all main elements, or of the one deduced."""
+    """The blocks that fill the slots, joined by an empty line: those of all main elements, or of the page if it has none."""
     slots: list[tuple[str, str, bool, bool]] = []  # path, text, whether a block starts, whether the template has it
     mains: set[str] = set()
-    sizes: Counter = Counter()
-    known: dict[str, bool] = {"": True}
     for kind, value, node, fresh in parse(html or ""):
         if kind == "<":
-            if node.path not in known:
-                known[node.path] = not node.apart and (not template or _hash("<" + node.path) in template)
             if node.tag in ("article", "main") and not node.apart:
                 mains.add(node.path)
             continue
@@ -216,29 +210,16 @@ def main_text(html: str | None, template: frozenset[int]) -> str:
         words = value.split()
         constant = bool(template) and (not words or _hash(f"{node.path} {' '.join(words)}") in template)
         slots.append((node.path, value, fresh, constant))
-        if not constant:
-            sizes[node.path] += sum(map(len, words))
-    tagged = bool(mains)
-    if not tagged:
-        inside: Counter = Counter()
-        for path, n in sizes.items():
-            while True:
-                inside[path] += n
-                if not path:
-                    break
-                path = path.rpartition("/")[0]
-        good = [p for p, n in inside.items() if known.get(p) and n >= MOST * sum(sizes.values())]
-        mains = {max(good, key=lambda p: (p.count("/"), p), default="")}
     blocks: list[list[tuple[str, bool]]] = []
     for path, value, fresh, constant in slots:
-        if any(path == m or path.startswith(m + "/") for m in mains):
+        if not mains or any(path == m or path.startswith(m + "/") for m in mains):
             if fresh or not blocks:
                 blocks.append([])
             blocks[-1].append((value, constant))
     done = [(" ".join(entities.unescape("".join(v for v, _ in b)).split()), all(c for _, c in b)) for b in blocks]
     # a block goes if the template has all of it; but a main element that is mostly such blocks is what near copies share
     shared = sum(len(v) for v, c in done if c)
-    keep = tagged and shared > COPIED * sum(len(v) for v, _ in done)
+    keep = bool(mains) and shared > COPIED * sum(len(v) for v, _ in done)
     return "\n\n".join(v for v, c in done if v and (keep or not c))
 
 

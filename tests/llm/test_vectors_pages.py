@@ -142,3 +142,10 @@ def test_the_template_decides_inside_articles(spark):
 def test_near_copies_keep_what_they_share(spark):
     pages = [page(i, f"<article><h1>Number {i}</h1><p>{'The same long story. ' * 8}</p><p>And its end.</p></article>") for i in range(12)]
     assert extracted(spark, pages)[4] == f"Number 4\n\n{'The same long story. ' * 8}".strip() + "\n\nAnd its end."
+
+
+@pytest.mark.parametrize("url", ["http://d.example/", None])
+def test_headings_and_lists_stay_without_an_article(spark, url):
+    body = lambda i: f"<div class=c><h1>Head {i}</h1><p>{f'long text {i} ' * 20}</p><ul><li>Point {i}</ul><table><tr><td>Cell {i}</table><pre>code {i}</pre><blockquote>Said {i}</blockquote><p>End {i}</p></div>"
+    got = extracted(spark, [page(i, body(i)) for i in range(8 if url else 2)], url)
+    assert got[1] == f"Head 1\n\n{'long text 1 ' * 20}".strip() + "\n\nPoint 1\n\nCell 1\n\ncode 1\n\nSaid 1\n\nEnd 1"
