@@ -149,6 +149,51 @@ def test_contexts_discover_and_redact(spark):
     assert out[0] == "please phone him on [PHONE] today 0" and out[12] == "please phone him on [PHONE] now" and out[13] == texts[13]
 
 
+def test_planted_identifiers_are_found_and_numbers_alike_are_not(spark):
+    """Typed cards with a wrong digit, phones without a plus and mail with odd ends, in contexts of seeds; orders and dates in contexts of their own."""
+    rnd = random.Random(11)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def luhn(head):
+        return next(head + str(c) for c in range(10) if sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, head + str(c)))) % 10 == 0)
+
+    filler = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "kappa", "sigma"]) for _ in range(rnd.randint(3, 9)))
+    texts, planted, clean = [], {}, set()
+    for i in range(600):
+        kind = i % 6
+        said = {
+            0: f"pay by card number: {luhn('4' + digits(14))} before friday",
+            1: f"call me on +1 ({digits(3)}) 555-{digits(4)} after work",
+            2: f"your order 9{digits(15)} was shipped",
+            3: f"on the day 20{digits(6)} it rained",
+            4: f"pay by card number: {luhn('5' + digits(14))} before friday",
+            5: f"call me on +44 20 {digits(4)} {digits(4)} after work",
+        }[kind]
+        if i % 30 == 12:
+            bad = luhn("4" + digits(14))
+            hit = bad[:-1] + str((int(bad[-1]) + 1) % 10)
+            said, planted[i] = f"pay by card number: {hit} before friday", (2, hit)
+        elif i % 30 == 1:
+            hit = f"020 {digits(4)} {digits(4)}"
+            said, planted[i] = f"call me on {hit} after work", (3, hit)
+        elif kind in (2, 3):
+            clean.add(i)
+        texts.append(f"{filler()} {said} {filler()}")
+    got = {r.doc_id: r for r in pii.find(documents(spark, texts)).collect()}
+    found = {i for i, (k, hit) in planted.items() if any(s.rank == k and texts[i][s.start : s.end] == hit for s in got[i].spans)}
+    assert len(found) / len(planted) >= 0.95
+    assert sum(len(got[i].spans) > len(got[i].base) for i in clean) / len(clean) <= 0.01
+
+
+def test_many_spans_in_one_text_take_time_in_proportion(spark):
+    text = " ".join(f"{i % 200}.1.2.3 w{i}" for i in range(20000)) + " +1 (415) 555-1234"
+    row = pii.find(documents(spark, [text])).collect()[0]
+    want = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", text)]
+    assert [(s.start, s.end) for s in row.base if s.rank == 1] == want
+    out = pii.redact(documents(spark, [text])).collect()[0].text
+    assert out == re.sub(r"\b[0-9]+(\.[0-9]+){3}\b", "[IP]", text).replace("+1 (415) 555-1234", "[PHONE]")
+
+
 def test_encoders_agree_with_the_library():
     a, b = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
     texts = corpus(20, 9) + ["", "  two  spaces \n\n lines\t", "it's I'LL", "<|endoftext|> x <|startoftext|>", "naïve café ́ 日本語テキスト" * 60, "x" * 4000, "a b c İΣ"]
