@@ -1,9 +1,14 @@
 """Vector operators against brute force, and template deduction on made-up sites."""
 
+import html as entities
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sigloom.llm import neighbours, templates, vecdedup
+from sigloom.llm.work import Workspace
 
 
 def table(spark, x):
@@ -149,3 +154,57 @@ def test_headings_and_lists_stay_without_an_article(spark, url):
     body = lambda i: f"<div class=c><h1>Head {i}</h1><p>{f'long text {i} ' * 20}</p><ul><li>Point {i}</ul><table><tr><td>Cell {i}</table><pre>code {i}</pre><blockquote>Said {i}</blockquote><p>End {i}</p></div>"
     got = extracted(spark, [page(i, body(i)) for i in range(8 if url else 2)], url)
     assert got[1] == f"Head 1\n\n{'long text 1 ' * 20}".strip() + "\n\nPoint 1\n\nCell 1\n\ncode 1\n\nSaid 1\n\nEnd 1"
+
+
+def plain_article(html):
+    """What stands in the article of one of the made pages, read without a parser."""
+    inner = re.search(r"<article>(.*?)(</article>|$)", html, re.S)[1]
+    inner = re.split(r"<footer>", inner)[0]
+    blocks = re.split(r"</?(?:p|h1|div|article)[^>]*>", inner)
+    return "\n\n".join(filter(None, (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in blocks)))
+
+
+def test_the_template_decides_on_pages_without_telling_names(spark, small):
+    """The table's pages with every telling tag and class renamed: the text stays the article's, and names alone would give another on most pages."""
+    given = spark.read.parquet(f"{small}/../sf0.01/pages.parquet").where("html is not null")
+    blank = given
+    for old, new in (("nav", "div"), ("article", "div"), ("footer", "div")):
+        blank = blank.withColumn("html", F.regexp_replace("html", f"<{old}>", f'<{new} class="k{old[:1]}">')).withColumn("html", F.regexp_replace("html", f"</{old}>", f"</{new}>"))
+    blank = blank.withColumn("html", F.replace("html", F.lit('class="ad"'), F.lit('class="kk"')))
+    got = {r.page_id: r.text for r in templates.extract(blank).collect()}
+    want = {r.page_id: plain_article(r.html) for r in given.collect()}
+    same = [got[i] == want[i] for i in want]
+    assert np.mean(same) >= 0.99
+    alone = [templates.main_text(r.html, templates.Template()) == want[r.page_id] for r in blank.collect()]
+    assert np.mean(alone) < 0.1
+    plain = {r.page_id: r.text for r in templates.extract(given).collect()}
+    assert np.mean([plain[i] == want[i] for i in want]) >= 0.99
+
+
+def test_classes_against_explicit_vectors(spark):
+    """Occurrence vectors written out, page by page, give the same valid tokens as their fingerprints."""
+    rng = np.random.default_rng(8)
+    html = [page(i, "".join(f"<div class=s{'ab'[int(rng.integers(2))]}><h2>Part</h2><p>Text {i} {j}</p></div>" for j in range(int(rng.integers(1, 4))))) for i in range(30)]
+    html += [html[3], html[4]]
+    df = spark.createDataFrame([(h,) for h in html], "html string").selectExpr("'x.example' as host", "html")
+    rows = templates.classes(Workspace(spark, "t"), df).where("kind > 0").collect()
+    got = {r.token for r in rows if r.valid}
+    pages = [templates.tokens(h) for h in html]
+    vectors: dict = {}
+    for t in set().union(*pages) - {0}:
+        v = tuple(p[t][1] if t in p else 0 for p in pages)
+        kind = next(p[t][0] for p in pages if t in p)
+        if sum(x > 0 for x in v) >= len(pages) / 2:
+            vectors.setdefault(v, []).append((t, kind))
+    want = {t for group in vectors.values() if len(group) >= templates.SIZE and any(k != templates.TEXT for _, k in group) for t, _ in group}
+    signed = {t - (1 << 64) if t >> 63 else t for t in want}
+    assert got == signed and len(signed) > 10
+
+
+def test_adverts_inside_the_article_go_and_titles_stay(spark):
+    lines = ["Buy one now", "Our cheap tea", "Best shoes here"]
+    bodies = [f"<div class=x1><h1>Title {i}</h1><p>Story {i} {'tale ' * 20}</p><div class=q7><p>{lines[i % 3]}</p></div><p>Then {i} came.</p></div><div class=x2><p>Said of {i}</p></div>" for i in range(24)]
+    got = extracted(spark, [f"<html><body><div class=m><a href=/>home</a></div>{b}</body></html>" for b in bodies])
+    assert got[5] == f"Title 5\n\nStory 5 {'tale ' * 20}".strip() + "\n\nThen 5 came."
+    deep = "<div>" * 20000 + "text" + "</div>" * 20000
+    assert extracted(spark, [deep, "<b", "a < b"], None) == {0: "text", 1: "", 2: "a < b"}
