@@ -14,17 +14,19 @@ def valid_vectors(table: DataFrame, column: str = "embedding") -> DataFrame:
     """``(vec_id, vec array<double>)`` of the vectors that can be compared, one row for each id.
 
     Left out are null ids, and vectors that are null, empty, zero, or hold null or
-    non-finite components; so are those whose length is not the most frequent one
-    (the greater, on a tie). Of different vectors under one id the least is taken.
+    non-finite components. Of different vectors under one id the least is taken.
     """
     vec = F.col(column).cast("array<double>")
     rows = table.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("vec", lambda x: x != 0))
-    size = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    if not size:
-        return rows.limit(0)
-    return rows.where(F.size("vec") == size[0].d).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
+
+def lengths(vectors: DataFrame) -> dict[int, int]:
+    """How many vectors there are of each length, the most frequent first; only vectors of one length are compared."""
+    got = vectors.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r.d: r.n for r in sorted(got, key=lambda r: (-r.n, -r.d))}
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -44,22 +46,36 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best rows other than itself; ties to the smaller id."""
+def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of each query's k best rows other than itself; ties to the smaller id.
+
+    With ``kinds`` of rows, a query meets those that its row of ``allowed`` has. Block
+    products choose rows within a hair of the k-th; these are scored anew, each
+    in the same order of additions wherever it stands, so that equal vectors tie.
+    """
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
-    out: list[list] = [[], [], []]
+    kinds = kinds[order] if kinds is not None else None
+    out: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+    if not len(rows):
+        return tuple(o[0] for o in out)  # type: ignore[return-value]
     for i in range(0, len(queries), 256):
         s = queries[i : i + 256] @ rows.T
         s[query_ids[i : i + 256, None] == ids[None, :]] = -np.inf
-        kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-        for j in range(len(s)):
-            at = np.flatnonzero((s[j] >= kth[j]) & (s[j] > -np.inf))
-            at = at[np.argsort(-s[j, at], kind="stable")[:k]]
-            out[0].append(np.full(len(at), query_ids[i + j]))
-            out[1].append(ids[at])
-            out[2].append(s[j, at])
-    return tuple(np.concatenate(o) if o else np.empty(0) for o in out)  # type: ignore[return-value]
+        if allowed is not None:
+            s[~allowed[i : i + 256][:, kinds]] = -np.inf
+        at = max(0, s.shape[1] - k)
+        kth = np.partition(s, at, axis=1)[:, at] - 1e-9
+        a, b = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
+        score = np.concatenate([(queries[i + a[j : j + 65536]] * rows[b[j : j + 65536]]).sum(1) for j in range(0, len(a), 65536)] or [np.empty(0)])
+        best = np.lexsort((b, -score, a))
+        a, b, score = a[best], b[best], score[best]
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        keep = nth < k
+        out[0].append(query_ids[i + a[keep]])
+        out[1].append(ids[b[keep]])
+        out[2].append(score[keep])
+    return tuple(np.concatenate(o) for o in out)  # type: ignore[return-value]
 
 
 def sample(vectors: DataFrame, most: int, total: int, salt: str) -> tuple[np.ndarray, np.ndarray]:

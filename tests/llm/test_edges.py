@@ -77,10 +77,10 @@ VECTORS = "vec_id long, embedding array<float>, label int, vec string, n string,
 
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    data = [(0, [1.0, 0.0], 1), (50, [1.0, 0.0], 1), (2, [0.9, 0.1], 2), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [None, 1.0], 1), (8, [], 1), (2, [0.9, 0.1], 2), (None, [1.0, 1.0], 1), (100, [0.0, 1.0], None), (9, [1.0, 2.0, 3.0], 1)]
+    data = [(0, [1.0, 0.0], 1), (50, [1.0, 0.0], 1), (2, [0.9, 0.1], 2), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [None, 1.0], 1), (8, [], 1), (2, [0.9, 0.1], 2), (None, [1.0, 1.0], 1), (100, [0.0, 1.0], None), (9, [1.0, 2.0, 3.0], 1), (150, [1.0, 2.0, 3.5], 1)]
     df = spark.createDataFrame([(*r, "x", "x", "x") for r in data], VECTORS)
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df).collect())
-    assert got == [(0, 1, 50), (0, 2, 2), (0, 3, 100), (50, 1, 0), (50, 2, 2), (50, 3, 100), (100, 1, 2), (100, 2, 0), (100, 3, 50)]
+    assert got == [(0, 1, 50), (0, 2, 2), (0, 3, 100), (50, 1, 0), (50, 2, 2), (50, 3, 100), (100, 1, 2), (100, 2, 0), (100, 3, 50), (150, 1, 9)]
     out = vecdedup.near_duplicates(df).collect()
     assert len(out) == len(data)
     by = {r.vec_id: r for r in out}
