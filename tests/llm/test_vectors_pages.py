@@ -41,6 +41,26 @@ def test_search_recall(spark, clustered):
     assert hits / (5 * len(q)) >= 0.9
 
 
+def test_structured_vectors_meet_few_parts(spark):
+    """Rows around 80 centres, two levels of parts: most true neighbours in a small share of rows; a hot centre is dealt in blocks."""
+    rng = np.random.default_rng(21)
+    centre = rng.standard_normal((80, 24))
+    x = centre[rng.integers(0, 80, 9000)] + 0.45 * rng.standard_normal((9000, 24))
+    x[:3000] = centre[0] + 0.3 * rng.standard_normal((3000, 24))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    q = np.arange(0, len(u), 50)
+    s = u[q] @ u.T
+    s[np.arange(len(q)), q] = -2
+    truth = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    got: dict = {}
+    rows = neighbours.search(table(spark, x)).collect()
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert rows[0].of_parts == 128 and rows[0].parts < 64
+    assert np.mean([v in got[i] for i, t in zip(q.tolist(), truth.tolist()) for v in t]) >= 0.9
+    assert rows[0].compared < 0.5 and rows[0].recall >= 0.9
+
+
 def test_parts_are_balanced(clustered):
     x = clustered[:1024] / np.linalg.norm(clustered[:1024], axis=1)[:, None]
     label = neighbours.partition_graph(x, neighbours.neighbour_graph(x, 8), 8)
@@ -68,6 +88,7 @@ def test_links_cross_shards(spark, monkeypatch):
     """Rows on an arc in shards of few rows and a single home: most links have ends in different shards, some through a third one."""
     monkeypatch.setattr(vecdedup, "SHARD", 25)
     monkeypatch.setattr(vecdedup, "PIECE", 32)
+    monkeypatch.setattr(vecdedup, "LARGEST", 2)
     monkeypatch.setattr(vecdedup, "OVERLAPS", (2,))
     monkeypatch.setattr(vecdedup, "DEGREES", (16,))
     angle = np.linspace(0, 1.5, 400)
@@ -84,10 +105,9 @@ def test_lost_small_groups_are_not_hidden_by_a_large_one(spark, monkeypatch):
     x = np.concatenate([base, base + 0.02 * rng.standard_normal(base.shape), rng.standard_normal(24) + 0.02 * rng.standard_normal((200, 24))])
     search = vecdedup.range_search
 
-    def poor(x, cosine, degree):
-        found = search(x, cosine, degree)
-        found[found.sum(1) < 20] = False
-        return found & found.T
+    def poor(x, graph, medoid, cosine):
+        label = search(x, graph, medoid, cosine)
+        return np.where(np.bincount(label, minlength=len(x))[label] < 20, np.arange(len(x)), label)
 
     monkeypatch.setattr(vecdedup, "range_search", poor)
     got = sorted(vecdedup.near_duplicates(table(spark, x)).collect())
@@ -98,15 +118,35 @@ def test_an_audit_without_links_decides_nothing(spark, monkeypatch):
     rng = np.random.default_rng(10)
     x = rng.standard_normal((400, 24))
     x[7] = x[300] + 0.01
-    monkeypatch.setattr(vecdedup, "range_search", lambda x, cosine, degree: np.zeros((len(x), len(x)), bool))
-    if hasattr(vecdedup, "AUDITS"):
-        monkeypatch.setattr(vecdedup, "AUDITS", (16,))
-    else:
-        monkeypatch.setattr(vecdedup, "AUDIT", 16)
+    monkeypatch.setattr(vecdedup, "AUDITS", (16,))
     got = sorted(vecdedup.near_duplicates(table(spark, x)).collect())
     assert [r.vec_id for r in got if r.n_links] == [7, 300]
 
 
+def test_two_levels_of_clusters_give_the_same_links(spark, clustered, monkeypatch):
+    monkeypatch.setattr(vecdedup, "SHARD", 100)
+    monkeypatch.setattr(vecdedup, "CLUSTERS", 4)
+    u = clustered / np.linalg.norm(clustered, axis=1)[:, None]
+    want = (u @ u.T >= 0.9 - 1e-12).sum(1) - 1
+    got = sorted(vecdedup.near_duplicates(table(spark, clustered)).collect())
+    assert sum(r.n_links for r in got) >= 0.995 * want.sum() and all(r.n_links <= n for r, n in zip(got, want))
+
+
+def test_the_graph_is_pruned_and_navigable():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((800, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph, medoid = vecdedup.build_graph(x, 10)
+    assert (graph != np.arange(800)[:, None]).all() and ((graph >= 0).sum(1) <= 10).all()
+    for i in range(0, 800, 97):  # no kept neighbour stands for another, by the definition
+        near = graph[i][graph[i] >= 0]
+        near = near[np.argsort(-(x[near] @ x[i]), kind="stable")]
+        for k, b in enumerate(near):
+            assert all(1.2 * (1 - x[a] @ x[b]) > (1 - x[i] @ x[b]) - 1e-9 for a in near[:k])
+    reached = vecdedup.beam_search(x, graph, medoid, np.arange(800), 8)[0]
+    assert np.mean((reached == np.arange(800)[:, None]).any(1)) > 0.97
+
+
 def page(i, body, extra=""):
     menu = "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(3 + i % 3))
     return f'<!DOCTYPE html><html><head><title>T {i}</title><style>p{{x:1}}</style><script>var a="</p>";</script></head><body><nav><ul>{menu}</ul></nav><div class="cookie-notice">We use cookies {i}</div>{body}<div class="comments"><p>reader says {i}</p></div>{extra}<footer>&copy; site</footer></body></html>'
