@@ -273,11 +273,50 @@ def test_held_out_accuracy(spark, small):
     assert got and np.mean([r.lang == r.lang_pred for r in got]) >= 0.9
 
 
-def test_models_are_distributions_and_tell_texts_apart(spark):
-    k, n = np.unique(lmscore.trigrams(b"abracadabra"), return_counts=True)
-    m = lmscore.model(k, n).reshape(-1, 256)
-    assert np.allclose(np.exp(m[[0, 97 << 8 | 98, 5]].astype(float)).sum(1), 1, atol=1e-5)
-    docs = documents(spark, ["good words are here " * 5] * 20 + ["ZZ!! QQ!! " * 9] * 20)
+def plain_scores(texts, good, vocabulary):
+    """Losses of each text by the definition: counts of all other texts, one by one."""
+    words = [[w.lower() for w in (t or "").split()] for t in texts]
+    n = {}
+    for ws in words:
+        for w in ws:
+            n[w] = n.get(w, 0) + 1
+    known = sorted((w for w in n if n[w] > 1), key=lambda w: -n[w])[:vocabulary]
+    texts_ = [[w if w in known else "?" for w in ws] + ["$"] if ws else [] for ws in words]
+    out = []
+    for i, own in enumerate(texts_):
+        sums = []
+        for model in (0, 1):
+            others = [t for j, t in enumerate(texts_) if j != i and (not model or j in good)]
+            uni, bi = {}, {}
+            for t in others:
+                for a, b in zip(["$", *t], t):
+                    uni[b] = uni.get(b, 0) + 1
+                    bi[a, b] = bi.get((a, b), 0) + 1
+            total = sum(uni.values())
+            loss = 0.0
+            for a, b in list(zip(["$", *own], own))[:-1]:
+                one = (uni.get(b, 0) + lmscore.ADDED) / (total + lmscore.ADDED * (len(known) + 2))
+                loss -= np.log((bi.get((a, b), 0) + lmscore.BACKOFF * one) / (uni.get(a, 0) + lmscore.BACKOFF))
+            sums.append(loss / (len(own) - 1) if own else None)
+        out.append(sums)
+    return out
+
+
+def test_scores_against_the_definition(spark):
+    texts = corpus(40, 5) + [None, "", "Once only words", "ONCE only words"]
+    good = {i for i in range(len(texts)) if i % 3 == 0}
+    docs = documents(spark, texts)
+    got = {r.doc_id: r for r in lmscore.score(docs, docs.where("doc_id % 3 = 0")).collect()}
+    for i, (b, t) in enumerate(plain_scores(texts, good, 1 << 18)):
+        assert got[i].n_tokens == len((texts[i] or "").split())
+        if b is None:
+            assert got[i].loss_background is None and got[i].score is None
+        else:
+            assert np.isclose(got[i].loss_background, b, atol=1e-9) and np.isclose(got[i].loss_target, t, atol=1e-9) and np.isclose(got[i].score, t - b, atol=1e-9)
+
+
+def test_scores_order_texts(spark):
+    docs = documents(spark, ["good words are here " * 5] * 20 + ["zz qq " * 9] * 20)
     got = {r.doc_id: r for r in lmscore.score(docs, docs.where("doc_id < 10")).collect()}
     assert max(got[i].score for i in range(20)) < 0.05 and min(got[i].score for i in range(20, 40)) > 1
 
