@@ -1,17 +1,19 @@
 """Packing of token streams into windows by Karmarkar-Karp multiway differencing.
 
-Documents are encoded where they are read; only lengths and checksums of pieces
-move (and their ids, if asked for). Whole windows are cut off long documents. The
-rest is cut into pieces of at most ``PIECE`` ids and dealt into groups of about
+Documents are encoded where they are read. Whole windows are cut off long documents;
+what is left of each document stays in one piece and is dealt into a group of about
 ``GROUP`` ids by a hash. In a group, every piece starts as a partition of
 the windows with one part filled; the two partitions with the largest imbalances
 are merged, the fullest part of one with the emptiest of the other, until one
 is left, whose parts are nearly equal. While its fullest part exceeds the
-capacity, the number of windows rises by one and the group is dealt again.
+capacity, the number of windows rises and the group is dealt again, until
+padding would exceed ``SLACK``; only then is what does not fit cut off, and fills the
+room of other windows.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from .work import Workspace
 
 CAPACITY = 2048
-PIECE = 256
 GROUP = 1 << 19
+#: The share of padding up to which the number of windows rises before a document is cut.
+SLACK = 0.005
 #: Words whose ids a worker keeps; the oldest half goes when it is full.
 KEPT = 400_000
 
@@ -146,82 +149,124 @@ def differencing(sizes: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def balanced(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Parts for all sizes such that none exceeds the capacity; as few as differencing allows."""
-    parts = max(1, -(-int(sizes.sum()) // capacity))
+def fitted(sizes: np.ndarray, capacity: int, slack: float = SLACK) -> np.ndarray:
+    """(n, 4) rows (item, from, length, window) that hold every item, in windows none of which exceeds the capacity.
+
+    Items are whole unless the windows of differencing are still too full when padding reaches ``slack``.
+    """
+    total = int(sizes.sum())
+    parts, most = max(1, -(-total // capacity)), max(1, int(-(-total // (capacity * (1 - slack)))))
+    step = 1
     while True:
         to = differencing(sizes, parts)
-        if not len(sizes) or np.bincount(to, sizes).max() <= capacity:
-            return to
-        parts += 1
-
-
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, with_ids: bool = False) -> DataFrame:
-    """Encode and cut: ``(doc_id, start, length, ids_crc32, doc_tokens[, ids])``."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+        load = np.bincount(to, sizes, parts).astype(np.int64)
+        if parts >= most or not len(sizes) or load.max() <= capacity:
+            break
+        parts, step = min(most, parts + step), 2 * step
+    rows = [[i, 0, int(n), int(w)] for i, (n, w) in enumerate(zip(sizes, to))]
+    by: dict[int, list[list[int]]] = {}
+    for r in rows:
+        if load[r[3]] > capacity:
+            by.setdefault(r[3], []).append(r)
+    cut: list[list[int]] = []
+    for w, members in by.items():
+        excess = int(load[w] - capacity)
+        for r in sorted(members, key=lambda r: (-r[2], r[0])):
+            off = min(excess, r[2])
+            if not off:
+                break
+            cut.append([r[0], r[1] + r[2] - off, off, -1])
+            r[2] -= off
+            excess -= off
+    rooms = sorted((int(capacity - n), w) for w, n in enumerate(load) if n < capacity)
+    for item, start, n, _ in sorted(cut, key=lambda r: (-r[2], r[0], r[1])):
+        while n:
+            at = min(bisect.bisect_left(rooms, (n, -1)), len(rooms) - 1)  # the least room that is enough, or else the largest
+            room, w = rooms.pop(at)
+            rows.append([item, start, min(n, room), w])
+            if room > n:
+                bisect.insort(rooms, (room - n, w))
+            start, n = start + min(n, room), n - min(n, room)
+    return np.array([r for r in rows if r[2]], np.int64).reshape(-1, 4)
+
+
+_COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary()}
+
+
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+    """Encode and cut off whole windows: ``(doc_id, start, length, ids_crc32, doc_tokens, ids)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            cols: list[list] = [[] for _ in names]
+        cols: list[list] = [[] for _ in _COLUMNS]
+        held = 0
 
-            def flush(cols=cols) -> pa.RecordBatch:
-                kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
-                out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-                for c in cols:
-                    c.clear()
-                return out
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _COLUMNS.values())], names=list(_COLUMNS))
+            for c in cols:
+                c.clear()
+            return out
 
-            held = 0
+        for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = enc.ids(text or "").tobytes() + int(end_id).to_bytes(4, "little")
                 n = len(ids) // 4
-                whole = n - n % capacity
-                cuts = [*range(0, whole, capacity), *range(whole, n, piece)]
-                for s, e in zip(cuts, [*cuts[1:], n]):
-                    part = ids[4 * s : 4 * e]
-                    for c, v in zip(cols, (doc, s, e - s, zlib.crc32(part), n, part)):
+                for s in range(0, n, capacity):
+                    part = ids[4 * s : 4 * (s + capacity)]
+                    for c, v in zip(cols, (doc, s, len(part) // 4, zlib.crc32(part), n, part)):
                         c.append(v)
                 held += n
-                if held > 1 << 22:
+                if held > 1 << 20:
                     yield flush()
                     held = 0
+        if cols[0]:
             yield flush()
 
-    schema = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names)
+    schema = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in _COLUMNS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, group: int = GROUP, with_ids: bool = False) -> DataFrame:
     """Each piece with ``sequence_id`` and its ``offset`` there; every id is in exactly one piece.
 
     A null or empty text is its end id alone. Rows are packed one by one, also where
-    they repeat or have no doc_id. ``with_ids`` keeps the pieces' ids, as 32-bit
-    little-endian numbers, which is what a writer of training files needs.
-    Sequences of a group have ids next to each other; the numbers have gaps.
+    they repeat or have no doc_id; other columns are ignored, and an empty table gives no
+    rows. ``with_ids`` keeps the pieces' ids, as 32-bit little-endian numbers, which
+    is what a writer of training files needs. Sequences of a group have ids next to each other;
+    the numbers have gaps.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    made = ws.table(pieces(docs, tokenizer, end_id, capacity, piece, with_ids).withColumn("row", F.monotonically_increasing_id()))
+    made = ws.table(pieces(docs, tokenizer, end_id, capacity).withColumn("row", F.monotonically_increasing_id()))
     rest = made.where(F.col("length") < capacity)
     total = rest.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / group))
     full = made.where(F.col("length") == capacity).withColumn("sequence_id", F.col("row") * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
-    columns = [c for c in made.columns if c != "row"]
-    schema = ", ".join(f"{c} {t}" for c, t in rest.dtypes) + ", sequence_id long, offset long"
+    columns = [c for c in _COLUMNS if c != "ids" or with_ids]
+    schema = ", ".join(f"{c} {t}" for c, t in made.dtypes if c in columns) + ", sequence_id long, offset long"
 
     def deal(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("row").to_numpy(), -table.column("length").to_numpy()))
-        table = table.drop_columns(["packed"]).take(pa.array(order))
-        sizes = table.column("length").to_numpy()
-        to = balanced(sizes, capacity)
-        seq = np.argsort(to, kind="stable")
-        table, sizes, to = table.take(pa.array(seq)), sizes[seq], to[seq]
-        end = np.cumsum(sizes)
-        first = np.r_[True, to[1:] != to[:-1]]
-        offset = end - sizes
+        table = table.take(pa.array(order))
+        item, begin, length, window = fitted(table.column("length").to_numpy(), capacity)[:, :].T
+        seq = np.lexsort((begin, item, window))
+        item, begin, length, window = (v[seq] for v in (item, begin, length, window))
+        start = table.column("start").to_numpy()[item] + begin
+        own = [table.column("ids")[i].as_buffer() for i in range(table.num_rows)]
+        ids = [memoryview(own[i])[4 * s : 4 * (s + n)] for i, s, n in zip(item.tolist(), begin.tolist(), length.tolist())]
+        first = np.r_[True, window[1:] != window[:-1]]
+        offset = np.cumsum(length) - length
         offset = offset - np.maximum.accumulate(np.where(first, offset, 0))
-        ids = 2 * (key[0].as_py() * (2 * group) + to)  # even; whole windows have odd numbers; a group has fewer windows than twice its pieces' ids
-        return table.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        out = {
+            "doc_id": table.column("doc_id").take(pa.array(item)),
+            "start": pa.array(start, pa.int64()),
+            "length": pa.array(length, pa.int64()),
+            "ids_crc32": pa.array([zlib.crc32(i) for i in ids], pa.int64()),
+            "doc_tokens": table.column("doc_tokens").take(pa.array(item)),
+        }
+        if with_ids:
+            out["ids"] = pa.array([bytes(i) for i in ids], pa.binary())
+        # even; whole windows have odd numbers; a group has fewer windows than twice its ids
+        return pa.table({**out, "sequence_id": pa.array(2 * (key[0].as_py() * (2 * group) + window), pa.int64()), "offset": pa.array(offset, pa.int64())})
 
     dealt = rest.withColumn("packed", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("packed").applyInArrow(deal, schema)
     return dealt.select(*columns, "sequence_id", "offset").unionByName(full.select(*columns, "sequence_id", "offset"))

@@ -221,7 +221,40 @@ def test_differencing():
     load = np.bincount(packing.differencing(sizes, 60), sizes)
     assert load.max() - load.min() <= 0.02 * load.mean()
     assert sorted(np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])) == [14, 16]
-    assert np.bincount(packing.balanced(rng.integers(1, 2048, 200), 2048)).min() >= 1
+
+
+def plain_differencing(sizes, parts):
+    """The largest and least sums by the definition: lists of sums, merged one pair at a time."""
+    made = [(sorted([int(n)] + [0] * (parts - 1)), i) for i, n in enumerate(sorted(sizes, reverse=True))]
+    at = len(made)
+    while len(made) > 1:
+        made.sort(key=lambda m: (m[0][0] - m[0][-1], m[1]))
+        (a, _), (b, _) = made[:2]
+        made = [*made[2:], (sorted(x + y for x, y in zip(a, b[::-1])), at)]
+        at += 1
+    return max(made[0][0]), min(made[0][0])
+
+
+def test_differencing_against_the_definition():
+    rng = np.random.default_rng(6)
+    for n, parts in [(6, 3), (40, 7), (90, 30), (25, 40)]:
+        sizes = rng.integers(1, 5000, n)
+        load = np.bincount(packing.differencing(sizes, parts), sizes, parts)
+        assert (load.max(), load.min()) == plain_differencing(sizes.tolist(), parts)
+
+
+def test_windows_hold_whole_documents_where_they_can():
+    rng = np.random.default_rng(7)
+    for sizes in (rng.integers(1, 2048, 700), np.full(50, 1400), np.array([2047, 1]), np.array([5]), np.full(9, 2047)):
+        f = packing.fitted(np.sort(sizes)[::-1], 2048)
+        assert np.bincount(f[:, 3], f[:, 2]).max() <= 2048
+        assert np.bincount(f[:, 0], f[:, 2]).tolist() == np.sort(sizes)[::-1].tolist()
+        for i in range(len(sizes)):  # an item's rows follow on each other
+            own = f[f[:, 0] == i]
+            own = own[np.argsort(own[:, 1])]
+            assert own[0, 1] == 0 and (own[1:, 1] == own[:-1, 1] + own[:-1, 2]).all()
+        assert len(set(f[:, 3])) <= -(-sizes.sum() // 2048) * 1.01 + 1
+    assert len(packing.fitted(rng.integers(1, 2048, 700), 2048)) <= 1.3 * 700
 
 
 def test_packing_is_whole(spark):
