@@ -4,9 +4,9 @@ A rolling hash over the last bytes of a text cuts it where the content says so,
 hence copied passages are cut alike wherever they stand. A worker encodes each
 chunk it has not met once and keeps the result, for all documents it reads.
 A cut may split a word; such a join is repaired by encoding again the span from
-the last white space before it to the first one after it. White space ends
-every token of this kind of vocabulary, so the repaired ids agree with those of
-the whole text. What is encoded is encoded by the library, by words, which are
+the last white space before it to the first one after it, together with a word on
+either side: the ids have to agree with those of the chunks there. White space ends
+every token of this kind of vocabulary, so one round is enough. What is encoded is encoded by the library, by words, which are
 kept in the same manner.
 """
 
@@ -66,6 +66,7 @@ class Coder:
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.size = 0
+        self.agreed: set[bytes] = set()
 
     def _encoded(self, words: list[bytes]) -> tuple[bytes, bytes]:
         """Decimal ids and decoded tokens of words, either joined by spaces."""
@@ -97,25 +98,44 @@ class Coder:
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Decimal ids of a whole text, and the tokens they decode to, joined by spaces."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        out, carry, start = [], b"", 0
+        out, carry, start, before = [], [], 0, b""
         for end in cuts(data):
             chunk = data[start:end]
             start = end
             if carry:  # the join before this chunk split a word: repair it up to the first white space
                 head = chunk.split(None, 1)[0] if chunk and not _SPACE[chunk[0]] else b""
                 if len(head) == len(chunk):
-                    carry += chunk
+                    carry.append(chunk)
                     continue
-                out.append(self._encoded([carry + head]))
-                chunk, carry = chunk[len(head) :], b""
+                chunk = chunk[len(head) :]
+                out.append(self._repaired(before, b"".join([*carry, head]), (chunk[:256].split(None, 1) or [b""])[0]))
+                carry = []
             if chunk and end < len(data) and not _SPACE[chunk[-1]] and not _SPACE[data[end]]:
                 tail = chunk.rsplit(None, 1)[-1]
-                carry, chunk = tail, chunk[: len(chunk) - len(tail)]
+                carry, chunk = [tail], chunk[: len(chunk) - len(tail)]
             out.append(self._chunk(chunk))
+            before = (chunk[-256:].rsplit(None, 1) or [b""])[-1]
         if carry:
-            out.append(self._encoded([carry]))
+            out.append(self._encoded([b"".join(carry)]))
         return b" ".join([o[0] for o in out if o[0]]), b" ".join([o[1] for o in out if o[0]])
 
+    def _repaired(self, left: bytes, word: bytes, right: bytes) -> tuple[bytes, bytes]:
+        """A split word encoded anew, once it is seen that it agrees with the words beside it.
+
+        The span is encoded as one text; its ids have to be those of its words one after
+        the other, or chunks don't stand for themselves with this vocabulary.
+        """
+        got = self._encoded([word])
+        if word not in self.agreed:
+            sides = [w for w in (left, word, right) if w]
+            span = self.tokenizer.encode(b" ".join(sides).decode("utf-8", "replace"), add_special_tokens=False).ids
+            if " ".join(map(str, span)).encode() != self._encoded(sides)[0]:
+                raise ValueError("this vocabulary's tokens reach over white space")
+            if len(self.agreed) > KEPT_WORDS:
+                self.agreed.clear()
+            self.agreed.add(word)
+        return got
+
 
 _CODERS: dict[str, Coder] = {}
 
@@ -127,12 +147,20 @@ def coder(path: str) -> Coder:
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``docs`` with ``ids array<int>`` and ``decoded string`` of each whole ``text`` added (null: empty)."""
+    """``docs`` with ``ids array<int>`` and ``decoded string`` of each whole ``text`` added.
+
+    A null or blank text has no ids and decodes to nothing. Repeated rows are each answered,
+    columns of these names are replaced, and an empty table stays empty.
+    """
     return _with(docs, tokenizer, [("ids", "array<int>", pa.list_(pa.int32()), lambda i, d: np.array(i.split(), np.int32)), ("decoded", "string", pa.string(), lambda i, d: d.decode("utf-8", "replace"))])
 
 
 def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """``rows`` with ``decoded``: the text of ``ids``, special tokens included (null: empty)."""
+    """``rows`` with ``decoded``: the text of ``ids``, special tokens included.
+
+    Null or empty ids decode to nothing. Repeated rows are each answered, a column called
+    decoded is replaced, and an empty table stays empty.
+    """
     kept = rows.drop("decoded")
     at = kept.columns.index("ids")
     names = [*kept.columns, "decoded"]

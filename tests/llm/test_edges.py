@@ -88,3 +88,21 @@ def test_vectors(spark):
     assert {by[i].component_id for i in (0, 50, 2)} == {0} and by[3].kept and not by[50].kept and by[0].kept
     empty = df.limit(0)
     assert neighbours.search(empty).count() == 0 and vecdedup.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", ["language ID", "SimHash near-dedup", "substring dedup", "PII", "packing"])
+def test_stages_on_odd_and_empty_tables(odd, none, small, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(odd.sparkSession, odd, small)
+    rows = got.collect()
+    if name != "packing":
+        assert got.columns == odd.columns
+    if name in ("PII", "substring dedup"):
+        assert {r.doc_id for r in rows} >= {1, 2, 3, 4, 5, 6, 8, 10, 11, 12, 13, None}
+    if name == "SimHash near-dedup":
+        assert sorted(r.doc_id for r in rows if r.doc_id in (6, 7, 8, 9)) == [6, 8]
+    if name == "packing":
+        assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0) and all(len(r.ids) == 4 * r.length for r in rows)
+    assert stage(odd.sparkSession, none, small).collect() == []
