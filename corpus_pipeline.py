@@ -26,7 +26,10 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language the network knows: null texts, texts without a letter and doubtful ones go."""
+    """Keep documents in a language the network knows: null texts, texts without a letter and doubtful ones go.
+
+    Repeated rows are each judged. Where no language is given to learn from, all documents stay.
+    """
     model = langid.train(langid.training_sample(docs))
     labelled = langid.label(docs, model)
     sure = F.lit(True) if model is None else (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
@@ -44,19 +47,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that start earlier go; so do documents of which nothing is left."""
+    """Words in passages that start earlier go; so do documents of which nothing is left.
+
+    Null and empty texts have no words and stay. Of passages in repeated rows the one in the
+    smaller doc_id stays; an empty table stays empty.
+    """
     out = substrings.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
     return _with_text(out.withColumn("text", F.coalesce("kept", "text")), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become their kind in brackets."""
+    """Spans of personal data become their kind in brackets. Null and empty texts stay, as do repeated rows; an empty table stays empty."""
     return _with_text(pii.redact(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, TOKENIZER)
+    """Pieces of documents in sequences of at most 2048 tokens, with their ids as 32-bit little-endian numbers.
+
+    A null or empty text is its end id alone; repeated rows are packed one by one; an empty table gives no pieces.
+    """
+    return packing.pack(docs, TOKENIZER, with_ids=True)
 
 
 STAGES = [
@@ -71,7 +81,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``: pieces with their sequences, offsets and ids. No documents give no pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ws = Workspace(spark, "pipeline")
     for name, stage in STAGES[:-1]:
