@@ -184,18 +184,26 @@ def build_index(ws: Workspace, rows: DataFrame, total: int) -> Index:
     fine, shared = leaves // FAN, rows.sparkSession.sparkContext.broadcast(top)
     draw = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit("fine")), 11) / float(1 << 53)
 
-    def part_of(batches):
+    def parts_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(Index(shared.value).home(unit(matrix(b.column(0)))), pa.int32())], names=["part"])
+
+    sizes = {r.part: r.n for r in rows.select("vec").mapInArrow(parts_of, "part int").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rate = np.array([FINE_SAMPLE / max(1, sizes.get(p, 0)) for p in range(FAN)])
+
+    def drawn(batches):
         for b in batches:
             p = Index(shared.value).home(unit(matrix(b.column(0))))
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b.column(0)], names=["part", "vec"])
+            keep = pa.array(b.column(1).to_numpy() < rate[p])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b.column(0)], names=["part", "vec"]).filter(keep)
 
     def learn(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        r = build_router(unit(matrix(group.column("vec").slice(0, FINE_SAMPLE))), fine, FINE_HIDDEN)
+        r = build_router(unit(matrix(group.column("vec"))), fine, FINE_HIDDEN)
         flat = np.concatenate([w.ravel() for w in (*r.w, *r.b)]).astype(np.float32)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([flat.tobytes()], pa.binary())})
 
-    # expected rows of a part FINE_SAMPLE; a part that holds more is learned from the first of them
-    some = rows.where(draw < min(1.0, FAN * FINE_SAMPLE / total)).select("vec").mapInArrow(part_of, "part int, vec array<double>")
+    # about FINE_SAMPLE rows of each part, however many it has
+    some = rows.select("vec", draw.alias("draw")).mapInArrow(drawn, "part int, vec array<double>")
     got = {r.part: np.frombuffer(r.weights, np.float32).astype(np.float64) for r in some.groupBy("part").applyInArrow(learn, "part int, weights binary").collect()}
     dims = top.w[0].shape[0]
     below = []

@@ -5,7 +5,7 @@ clusters, several each, so that shards overlap; there are as many clusters as th
 rows need, on two levels if they are many. Each shard's graph is built by inserting its rows:
 a greedy search from the medoid over the graph so far finds candidates, which are
 pruned robustly (a neighbour goes if a kept one is closer to it, by a factor, than the
-row is), reverses are added and pruned alike. The adjacency lists of all shards are
+row is); reverses are added and pruned alike. The adjacency lists of all shards are
 united by row into one flat graph, a table. On that graph every row is sought by greedy
 search from the medoid of each of its shards, and from what lies within the range, and from the
 row itself, the search widens along edges; where edges lead out of the shard, the rows at
@@ -41,10 +41,10 @@ COSINE = 0.9
 #: Rows clusters are learned from, rows of a shard, clusters of a level, and rows of one the next level is learned from.
 SAMPLE, SHARD, CLUSTERS, FINE_SAMPLE = 16384, 1024, 1024, 4096
 OVERLAPS, DEGREES = (2, 4, 8), (16, 24, 48)
-#: The most rows of a shard's graph as a multiple of SHARD (larger shards are dealt in parts); rows of a piece; rows of the exact pass.
+#: The most rows of a shard's graph as a multiple of SHARD and the overlap (larger shards are dealt in parts, otherwise in each shard); rows of a piece; rows of the exact pass.
 LARGEST, PIECE, BLOCK = 4, 2048, 4096
 #: The pruning factor, the beams of building and searching.
-ALPHA, BUILD, BEAM = 1.2, 24, 4
+ALPHA, BUILD, BEAM = 1.2, 20, 6
 #: Rows audited, more while too few have links: of those with links, up to FEW of them, ENOUGH have to be among the audited.
 AUDITS, FEW, ENOUGH = (256, 1024, 4096), 32, 100
 RECALL = 0.995
@@ -67,6 +67,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 13) -> np.ndarray
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Greedy searches for ``rows`` of x over lists (n, width; -1 is no neighbour): beams' rows and similarities, then those expanded."""
+    width = max(16, (1 << 23) // max(1, graph.shape[1] * x.shape[1]))
+    if len(rows) > width:  # bounded memory, whatever the lists' width
+        some = [beam_search(x, graph, start, rows[i : i + width], beam) for i in range(0, len(rows), width)]
+        most = max(s[2].shape[1] for s in some)
+        fill = lambda v, by: np.pad(v, ((0, 0), (0, most - v.shape[1])), constant_values=by)
+        return tuple(np.concatenate(v) for v in zip(*[(s[0], s[1], fill(s[2], -1), fill(s[3], -np.inf)) for s in some]))  # type: ignore[return-value]
     m, q = len(rows), x[rows]
     ids, sims, open_ = np.full((m, beam), -1), np.full((m, beam), -np.inf, x.dtype), np.zeros((m, beam), bool)
     ids[:, 0], sims[:, 0], open_[:, 0] = start, q @ x[start], True
@@ -267,8 +273,8 @@ def _placed(ws: Workspace, rows: DataFrame, total: int, overlap: int) -> DataFra
     else:
         dealt = placed.select(F.col("home").cast("string").alias("shard"), "vec_id", "vec", "copies")
     dealt = ws.table(dealt)
-    large = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (LARGEST * SHARD)).cast("int").alias("parts")).where("parts > 1")
-    part = F.when(F.col("parts").isNotNull(), F.concat_ws("/", "shard", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("parts")).cast("string"))).otherwise(F.col("shard"))
+    large = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (LARGEST * SHARD * over)).cast("int").alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNotNull(), F.concat_ws("/", "shard", F.pmod(F.xxhash64("vec_id", "shard"), F.col("parts")).cast("string"))).otherwise(F.col("shard"))
     return ws.table(dealt.join(large, "shard", "left").select(part.alias("shard"), "vec_id", "vec", "copies"))
 
 
@@ -279,18 +285,21 @@ def _local(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flat_graph(ws: Workspace, placed: DataFrame, degree: int) -> DataFrame:
-    """``(vec_id, near array<struct<to, sim>>)``: the pruned lists of all shards and their reverses, united by row."""
+    """``(vec_id, near array<struct<to, sim>>)``: the pruned lists of all shards, united by row; ``degree`` for each shard a row is in at most."""
+    near = pa.struct([("to", pa.int64()), ("sim", pa.float32())])
 
     def build(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         ids, x = _local(group)
         graph, _ = build_graph(x.astype(np.float32), degree) if len(ids) > 1 else (np.full((len(ids), 1), -1), 0)
         a, i = np.nonzero(graph >= 0)
         b = graph[a, i]
-        sim = (x[a] * x[b]).sum(1)
-        return pa.table({"a": pa.array(ids[np.r_[a, b]], pa.int64()), "b": pa.array(ids[np.r_[b, a]], pa.int64()), "sim": pa.array(np.r_[sim, sim].astype(np.float32), pa.float32())})
+        sim = np.concatenate([(x[a[j : j + 65536]] * x[b[j : j + 65536]]).sum(1) for j in range(0, len(a), 65536)] or [np.empty(0)])
+        start = np.searchsorted(a, np.arange(len(ids) + 1)).astype(np.int32)
+        ends = pa.StructArray.from_arrays([pa.array(ids[b], pa.int64()), pa.array(sim.astype(np.float32))], fields=list(near))
+        return pa.table({"vec_id": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(start), ends)})
 
-    edges = placed.groupBy("shard").applyInArrow(build, "a long, b long, sim float").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    return ws.table(edges.groupBy(F.col("a").alias("vec_id")).agg(F.collect_list(F.struct(F.col("b").alias("to"), "sim")).alias("near")))
+    lists = placed.groupBy("shard").applyInArrow(build, "vec_id long, near array<struct<to:long,sim:float>>")
+    return ws.table(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
 
 def _edges(ws: Workspace, rows: DataFrame, total: int, cosine: float, overlap: int, degree: int) -> DataFrame:
