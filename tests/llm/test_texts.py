@@ -313,24 +313,24 @@ def plain_scores(texts, good, vocabulary):
     for ws in words:
         for w in ws:
             n[w] = n.get(w, 0) + 1
-    known = sorted((w for w in n if n[w] > 1), key=lambda w: -n[w])[:vocabulary]
-    texts_ = [[w if w in known else "?" for w in ws] + ["$"] if ws else [] for ws in words]
+    known = set(sorted((w for w in n if n[w] > 1), key=lambda w: -n[w])[:vocabulary])
+    context = {w for w in known if xxhash.xxh64_intdigest(w.encode()) % lmscore.THIN == 0}
     out = []
-    for i, own in enumerate(texts_):
+    for i, own in enumerate(words):
         sums = []
         for model in (0, 1):
-            others = [t for j, t in enumerate(texts_) if j != i and (not model or j in good)]
             uni, bi = {}, {}
-            for t in others:
-                for a, b in zip(["$", *t], t):
-                    uni[b] = uni.get(b, 0) + 1
-                    bi[a, b] = bi.get((a, b), 0) + 1
-            total = sum(uni.values())
-            loss = 0.0
-            for a, b in list(zip(["$", *own], own))[:-1]:
-                one = (uni.get(b, 0) + lmscore.ADDED) / (total + lmscore.ADDED * (len(known) + 2))
-                loss -= np.log((bi.get((a, b), 0) + lmscore.BACKOFF * one) / (uni.get(a, 0) + lmscore.BACKOFF))
-            sums.append(loss / (len(own) - 1) if own else None)
+            for t in (t for j, t in enumerate(words) if j != i and (not model or j in good)):
+                for a, b in zip([None, *t], t):
+                    uni[b if b in known else None] = uni.get(b if b in known else None, 0) + 1
+                    bi[a, b] = bi.get((a, b), 0) + (b in known)
+            total, loss = sum(uni.values()), 0.0
+            for a, b in zip([None, *own], own):
+                p = (uni.get(b if b in known else None, 0) + lmscore.ADDED) / (total + lmscore.ADDED * (len(known) + 1))
+                if a in context:
+                    p = (bi.get((a, b), 0) + lmscore.BACKOFF * p) / (uni.get(a, 0) + lmscore.BACKOFF)
+                loss -= np.log(p)
+            sums.append(loss / len(own) if own else None)
         out.append(sums)
     return out
 
