@@ -21,10 +21,10 @@ def test_assignment_is_optimal():
 
 
 def test_optimal_match_keeps_identity(spark):
-    a = spark.createDataFrame([(1, 0, 100.0, 1000.0), (1, 1, 2000.0, 3000.0)], "k int, id int, start double, end double")
-    b = spark.createDataFrame([(1, 0, 180.0, 920.0), (1, 1, 2200.0, 2800.0)], a.schema)
+    a = spark.createDataFrame([(1, 5, 0.0, 10.0), (1, 6, 8.0, 30.0)], "k int, id int, start double, end double")
+    b = spark.createDataFrame([(1, 2, 9.0, 31.0), (1, 3, 1.0, 10.0)], a.schema)
     out = sorted(M.optimal_match(a, b, ["k"], "id").collect())
-    assert [(r.l_key, r.r_key) for r in out] == [(0, 0), (1, 1)] and out[0].iou > 0.8
+    assert [(r.l_key, r.r_key) for r in out] == [(5, 3), (6, 2)] and abs(out[0].iou - 0.9) < 1e-9
 
 
 def test_greedy_match_is_one_to_one(spark):
@@ -47,16 +47,16 @@ def test_drifting_dedup(spark):
 
 
 def test_spearman_with_ties(spark):
-    df = spark.createDataFrame([("a", *p) for p in zip([10.0, 15.0, 20.0, 30.0, 35.0], [0.28, 0.25, 0.20, 0.14, 0.16])] + [("b", float(x), float(y)) for x, y in zip([1, 2, 2, 4, 5], [5, 4, 3, 2, 1])], "g string, x double, y double")
+    df = spark.createDataFrame([("a", *p) for p in zip([1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [9.0, 7.0, 8.0, 3.0, 2.0, 1.0])] + [("b", float(x), float(y)) for x, y in zip([1, 2, 2, 4, 5], [5, 4, 3, 2, 1])], "g string, x double, y double")
     out = {r.g: r.rho for r in T.spearman(df, ["g"], "x", "y").collect()}
-    assert abs(out["a"] + 0.9) < 1e-12 and abs(out["b"] + 0.9746794344808964) < 1e-12
+    assert abs(out["a"] + 33 / 35) < 1e-12 and abs(out["b"] + 0.9746794344808964) < 1e-12
 
 
 def test_thresholds(spark):
-    df = spark.createDataFrame([(1, -5.0, 0.8), (1, 0.0, 0.9), (1, 5.0, 1.0)], "g int, x double, y double")
-    assert abs(T.first_crossing(df, ["g"], "x", "y", 0.97).first().threshold - 3.5) < 1e-9
+    df = spark.createDataFrame([(1, 0.0, 0.2), (1, 2.0, 0.6), (1, 4.0, 0.7), (1, 8.0, 0.9)], "g int, x double, y double")
+    assert abs(T.first_crossing(df, ["g"], "x", "y", 0.4).first().threshold - 1.0) < 1e-9
     assert T.first_crossing(df, ["g"], "x", "y", 1.01).first().threshold is None
-    assert T.sustained_crossing(df, ["g"], "x", "y", 0.9).first().threshold == 0.0
+    assert T.sustained_crossing(df, ["g"], "x", "y", 0.6).first().threshold == 2.0
 
 
 def test_bootstrap_holds_the_mean(spark):
