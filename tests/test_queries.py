@@ -1,5 +1,6 @@
 import pytest
 
+from sigloom.plans import cleaning as _c  # noqa: F401
 from sigloom.plans import populations as _p  # noqa: F401
 from sigloom.plans import queries as _  # noqa: F401
 from sigloom.plans import registry
