@@ -19,9 +19,16 @@ def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
 
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], at: str, tolerance: float, how: str = "inner") -> DataFrame:
-    """Pairs whose ``at`` differs by at most ``tolerance``; columns get the prefixes l_ and r_."""
-    lo = _prefixed(left, "l_", keys).withColumn("_b", F.floor(F.col(f"l_{at}") / tolerance))
-    ro = _prefixed(right, "r_", keys).withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"r_{at}") / tolerance) - 1, F.floor(F.col(f"r_{at}") / tolerance) + 1)))
+    """Pairs whose ``at`` differs by at most ``tolerance``; columns get the prefixes l_ and r_.
+
+    ``how`` is inner, left, left_semi or left_anti: the right side stands in several buckets, so its
+    unmatched rows can't be told.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti") or tolerance < 0:
+        raise ValueError("how must be inner, left, left_semi or left_anti, and the tolerance not negative")
+    width = tolerance or 1.0
+    lo = _prefixed(left, "l_", keys).withColumn("_b", F.floor(F.col(f"l_{at}") / width))
+    ro = _prefixed(right, "r_", keys).withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"r_{at}") / width) - 1, F.floor(F.col(f"r_{at}") / width) + 1)))
     on = [lo[k] == ro[k] for k in [*keys, "_b"]] + [F.abs(lo[f"l_{at}"] - ro[f"r_{at}"]) <= tolerance]
     out = lo.join(ro, on, how)
     return out.select(*[lo[k] for k in keys], *[c for c in out.columns if c.startswith(("l_", "r_"))])
@@ -65,6 +72,18 @@ def self_overlaps(df: DataFrame, keys: list[str], key: str, bucket: float) -> Da
     return out.select(*[a[k] for k in keys], f"l_{key}", f"r_{key}", (F.least("l_end", "r_end") - F.greatest("l_start", "r_start")).alias("overlap"))
 
 
+def with_islands(df: DataFrame, keys: list[str], low: Column, high: Column, apart: float = 0.0) -> DataFrame:
+    """``df`` with ``_island``: within a key, rows between which no chain of [low, high] leads have different numbers.
+
+    A new one begins where low is more than ``apart`` beyond all ends before, which one running maximum tells.
+    """
+    told = df.withColumns({"_low": low, "_high": high})
+    w = Window.partitionBy(*keys).orderBy("_low", "_high")
+    told = told.withColumn("_reach", F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(F.col("_low") - F.col("_reach") > apart, 1).otherwise(0)
+    return told.withColumn("_island", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_low", "_high", "_reach")
+
+
 def greedy_pairs(pairs: list[tuple], left: int = 0, right: int = 1) -> list[tuple]:
     """Pairs taken in the given order, each side once."""
     used: tuple[set, set] = (set(), set())
@@ -130,7 +149,8 @@ def optimal_match(left: DataFrame, right: DataFrame, keys: list[str], key: str,
     """One-to-one pairs of intervals of a key with the greatest total of 1000 + IoU - 1e-7 distance.
 
     Eligible are pairs that overlap or whose centers are within ``reach``; IoU is over the hull.
-    Keys that one side lacks give no pairs. A key is one task's work.
+    Keys that one side lacks give no pairs. A key is solved island by island: intervals of
+    different ones are never eligible, so that the whole's optimum is theirs together.
     """
     kind = dict(left.dtypes)
     schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), f"l_key {kind[key]}", f"r_key {dict(right.dtypes)[key]}", "iou double"])
@@ -148,13 +168,18 @@ def optimal_match(left: DataFrame, right: DataFrame, keys: list[str], key: str,
         return pa.table({**cols, "l_key": a.column(key).take(pa.array(i, pa.int64())), "r_key": b.column(key).take(pa.array(j, pa.int64())), "iou": pa.array([float(iou[p]) for p in got], pa.float64())})
 
     cols = [*keys, key, "start", "end"]
-    return left.select(*cols).groupBy(*keys).cogroup(right.select(*cols).groupBy(*keys)).applyInArrow(run, schema)
+    both = left.select(*cols, F.lit(True).alias("_left")).unionByName(right.select(*cols, F.lit(False).alias("_left")))
+    center = (F.col("start") + F.col("end")) / 2
+    told = with_islands(both, keys, F.least(F.col("start"), center - reach / 2), F.greatest(F.col("end"), center + reach / 2))
+    sides = [told.where(side).drop("_left").groupBy(*keys, "_island") for side in ("_left", "not _left")]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
 
 
 def suppress(df: DataFrame, keys: list[str], key: str, score: str, iou: float) -> DataFrame:
     """Greedy temporal suppression: by score, then id, a row is dropped by the kept one it overlaps most, at ``iou`` or more.
 
-    Sequential within a key; ``kept_by`` names the kept row, null for rows that stay.
+    ``kept_by`` names the kept row, null for rows that stay. Sequential within an island of a key, as
+    rows that no chain of overlaps joins can't drop each other; ``iou`` is above zero.
     """
     rows = df.select(*keys, key, "start", "end", score)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), f"kept_by {dict(df.dtypes)[key]}"])
@@ -175,13 +200,16 @@ def suppress(df: DataFrame, keys: list[str], key: str, score: str, iou: float) -
                     by[i] = ids[kept[int(v.argmax())]]
                     continue
             kept.append(i)
-        return table.append_column("kept_by", pa.array(by, table.schema.field(key).type))
+        return table.drop_columns(["_island"]).append_column("kept_by", pa.array(by, table.schema.field(key).type))
 
-    return rows.groupBy(*keys).applyInArrow(run, schema)
+    return with_islands(rows, keys, F.col("start"), F.col("end")).groupBy(*keys, "_island").applyInArrow(run, schema)
 
 
 def drifting_dedup(df: DataFrame, keys: list[str], key: str, frequency: str, time: str, energy: str, d_frequency: float, d_time: float) -> DataFrame:
-    """Greedy dedup in id order: a row joins the first representative close in frequency and time, and replaces it if it has more energy."""
+    """Greedy dedup in id order: a row joins the first representative close in frequency and time, and replaces it if it has more energy.
+
+    Sequential within an island of a key: rows on either side of a gap of ``d_time`` are never close.
+    """
     rows = df.select(*keys, key, frequency, time, energy)
 
     def run(table: pa.Table) -> pa.Table:
@@ -196,9 +224,9 @@ def drifting_dedup(df: DataFrame, keys: list[str], key: str, frequency: str, tim
                     break
             else:
                 reps.append(i)
-        return table.take(pa.array(reps, pa.int64()))
+        return table.drop_columns(["_island"]).take(pa.array(reps, pa.int64()))
 
-    return rows.groupBy(*keys).applyInArrow(run, rows.schema)
+    return with_islands(rows, keys, F.col(time), F.col(time), d_time).groupBy(*keys, "_island").applyInArrow(run, rows.schema)
 
 
 def spaced_choice(df: DataFrame, keys: list[str], start: str, value: str, apart: float, most: int) -> DataFrame:

@@ -359,7 +359,19 @@ def vector_nearest(spark, sf_dir):
 # The rest have no SQL: sequential or optimal choices within a key.
 
 
-@query("greedy_match")
+# sequential rules, written out as one step for each row of a user
+
+
+@query(
+    "greedy_match",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS at FROM events),
+       p AS (SELECT v.user_id, v.event_id AS l, b.event_id AS r, abs(v.at - b.at) AS d FROM e v JOIN e b ON v.user_id = b.user_id AND v.event_type = 'view' AND b.event_type = 'purchase' AND abs(v.at - b.at) <= 7200000000),
+       o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, l, r) AS n FROM p),
+       st AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::BIGINT[] AS ls, []::BIGINT[] AS rs, NULL::BIGINT AS l, NULL::BIGINT AS r, NULL::BIGINT AS d, false AS ok FROM o
+              UNION ALL SELECT o.user_id, o.n, CASE WHEN ok_ THEN list_append(ls, o.l) ELSE ls END, CASE WHEN ok_ THEN list_append(rs, o.r) ELSE rs END, o.l, o.r, o.d, ok_
+              FROM (SELECT o.*, ls, rs, NOT list_contains(ls, o.l) AND NOT list_contains(rs, o.r) AS ok_ FROM st JOIN o ON o.user_id = st.user_id AND o.n = st.n + 1) o)
+       SELECT user_id, l AS l_key, r AS r_key, d AS distance FROM st WHERE ok""",
+)
 def greedy_match(spark, sf_dir):
     return M.greedy_match(_views(spark, sf_dir, "view"), _views(spark, sf_dir, "purchase"), ["user_id"], "at", "event_id", 7200000000)
 
@@ -370,18 +382,41 @@ def optimal_match(spark, sf_dir):
     return M.optimal_match(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], "event_id", 3600.0)
 
 
-@query("temporal_suppression")
+@query(
+    "temporal_suppression",
+    f"""WITH RECURSIVE {SPANS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM spans),
+       st AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::STRUCT(id BIGINT, s BIGINT, e BIGINT)[] AS kept, NULL::BIGINT AS event_id, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::DOUBLE AS value, NULL::BIGINT AS kept_by FROM o
+              UNION ALL SELECT user_id, n, CASE WHEN top >= 0.25 THEN kept ELSE list_append(kept, {{'id': event_id, 's': s, 'e': e}}) END, event_id, s, e, value, CASE WHEN top >= 0.25 THEN kept[list_position(v, top)].id END
+              FROM (SELECT *, coalesce(list_max(v), 0) AS top FROM (SELECT o.*, kept, list_transform(kept, lambda k: coalesce(greatest(0, least(o.e, k.e) - greatest(o.s, k.s)) / nullif(greatest(o.e, k.e) - least(o.s, k.s), 0), 0)) AS v
+                    FROM st JOIN o ON o.user_id = st.user_id AND o.n = st.n + 1)))
+       SELECT user_id, event_id, s AS start, e AS "end", value, kept_by FROM st WHERE n > 0""",
+)
 def temporal_suppression(spark, sf_dir):
     return M.suppress(event_spans(spark, sf_dir), ["user_id"], "event_id", "value", 0.25)
 
 
-@query("drifting_dedup")
+@query(
+    "drifting_dedup",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, epoch_us(ts) / 1000000.0 AS "at", value FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e),
+       st AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::STRUCT(event_id BIGINT, k DOUBLE, "at" DOUBLE, value DOUBLE)[] AS reps FROM o
+              UNION ALL SELECT user_id, n, CASE WHEN p IS NULL THEN list_append(reps, one) WHEN value > reps[p].value THEN list_concat(list_concat(reps[1:p - 1], [one]), reps[p + 1:len(reps)]) ELSE reps END
+              FROM (SELECT o.user_id, o.n, o.value, reps, {'event_id': o.event_id, 'k': o.k, 'at': o."at", 'value': o.value} AS one, list_position(list_transform(reps, lambda r: abs(o.k - r.k) < 10 AND abs(o."at" - r."at") < 36000), true) AS p
+                    FROM st JOIN o ON o.user_id = st.user_id AND o.n = st.n + 1)),
+       f AS (SELECT user_id, unnest(reps) AS r FROM (SELECT user_id, arg_max(reps, n) AS reps FROM st GROUP BY 1)) SELECT user_id, r.event_id, r.k, r."at", r.value FROM f""",
+)
 def drifting_dedup(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", micros("ts") / 1e6).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     return M.drifting_dedup(e, ["user_id"], "event_id", "k", "at", "value", 10.0, 36000.0)
 
 
-@query("spaced_choice")
+@query(
+    "spaced_choice",
+    f"""WITH RECURSIVE {SPANS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, s) AS n FROM spans),
+       st AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::BIGINT[] AS chosen, NULL::BIGINT AS s, NULL::DOUBLE AS value, false AS ok FROM o
+              UNION ALL SELECT user_id, n, CASE WHEN ok THEN list_append(chosen, s) ELSE chosen END, s, value, ok
+              FROM (SELECT o.user_id, o.n, o.s, o.value, chosen, len(chosen) < 5 AND coalesce(list_min(list_transform(chosen, lambda c: abs(c - o.s))) >= 86400, true) AS ok FROM st JOIN o ON o.user_id = st.user_id AND o.n = st.n + 1))
+       SELECT user_id, s AS start, value FROM st WHERE ok""",
+)
 def spaced_choice(spark, sf_dir):
     return M.spaced_choice(event_spans(spark, sf_dir), ["user_id"], "start", "value", 86400, 5)
 

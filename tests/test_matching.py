@@ -69,3 +69,45 @@ def test_positive_definite():
     bad = np.array([[1, 0.9, -0.9], [0.9, 1, 0.9], [-0.9, 0.9, 1.0]])
     fixed = T.positive_definite(bad)
     assert np.linalg.eigvalsh(fixed)[0] > 0 and np.allclose(np.diag(fixed), 1)
+
+
+def test_islands_give_what_whole_keys_give(spark):
+    """Suppression, dedup and assignment by islands, against the same rules over a key at once."""
+    rng = np.random.default_rng(8)
+    start = rng.integers(0, 3000, 120).astype(float)
+    rows = [(1, i, float(a), float(a + rng.integers(1, 60)), float(rng.integers(0, 9)), float(rng.integers(0, 40))) for i, a in enumerate(start)]
+    df = spark.createDataFrame(rows, "k int, id int, start double, end double, score double, f double")
+    kept, by = [], {}
+    for _, i, s, e, *_ in sorted(rows, key=lambda r: (-r[4], r[1])):
+        v = [max(0.0, min(e, y) - max(s, x)) / (max(e, y) - min(s, x)) for _, x, y in kept]
+        if v and max(v) >= 0.2:
+            by[i] = kept[int(np.argmax(v))][0]
+        else:
+            kept.append((i, s, e))
+    got = {r.id: r.kept_by for r in M.suppress(df, ["k"], "id", "score", 0.2).collect()}
+    assert {i: b for i, b in got.items() if b is not None} == by
+    reps = []
+    for r in rows:
+        n = next((n for n, q in enumerate(reps) if abs(r[5] - q[5]) < 10 and abs(r[2] - q[2]) < 25), None)
+        if n is None:
+            reps.append(r)
+        elif r[4] > reps[n][4]:
+            reps[n] = r
+    assert sorted(r.id for r in M.drifting_dedup(df, ["k"], "id", "f", "start", "score", 10.0, 25.0).collect()) == sorted(r[1] for r in reps)
+    a, b = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    (s, e), (t, f) = (np.array([(r[2], r[3]) for r in rows if r[1] % 2 == side]).T for side in (0, 1))
+    inter = np.clip(np.minimum(e[:, None], f) - np.maximum(s[:, None], t), 0, None)
+    iou = inter / (np.maximum(e[:, None], f) - np.minimum(s[:, None], t))
+    delta = np.abs((s + e)[:, None] / 2 - (t + f) / 2)
+    best = M.assign(np.where((iou > 0) | (delta <= 30), 1000 + iou - 1e-7 * delta, 0.0))
+    out = M.optimal_match(a, b, ["k"], "id", 30.0).collect()
+    assert len(out) == len(best) and abs(sum(r.iou for r in out) - sum(iou[p] for p in best)) < 1e-3
+
+
+def test_within_refuses_what_it_cant_tell(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0)], "k int, x double")
+    with pytest.raises(ValueError):
+        M.within(df, df, ["k"], "x", 1.0, "full")
+    assert M.within(df, df, ["k"], "x", 0.0).count() == 2
