@@ -95,38 +95,43 @@ def repaired(traces: DataFrame, regions: DataFrame, key: str, signal: str, confi
     gathered = regions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_regions"))
     joined = traces.select(key, F.col(signal).alias("_signal")).join(gathered, key, "left").select(key, "_signal", "_regions")
 
-    def one(x: np.ndarray, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, str | None]:
-        sos = dsp.butter_bandpass(config.low, config.high, config.order, config.fs)
-        band = lambda v: dsp.zero_phase(sos, v[None])[0]
+    def fault(x: np.ndarray, rows: list[dict]) -> str | None:
         ends = np.array([[r[f] for f in fields[:4]] for r in rows], np.int64).reshape(-1, 4)
-        fits = all(len(r["carrier"] or ()) == r["outer_end"] - r["outer_start"] for r in rows)
         nested = (ends[:, 0] <= ends[:, 2]) & (ends[:, 2] <= ends[:, 3]) & (ends[:, 3] <= ends[:, 1]) & (ends[:, 0] >= 0) & (ends[:, 1] <= len(x))
-        problem = "overlap" if (ends[1:, 0] < ends[:-1, 1]).any() else "outside" if not nested.all() else None if fits else "carrier"
-        if problem:
-            return x, band(x), problem
-        clean, through = x, band(x)
-        for r in rows:
-            carrier = np.asarray(r["carrier"], np.float64)
-            core, outer = (r["core_start"], r["core_end"]), (r["outer_start"], r["outer_end"])
-            clean = dsp.blend(clean, carrier, core, outer)
-            if domain == "filtered":
-                through = dsp.blend(through, band(carrier), core, outer)
-        return clean, through if domain == "filtered" else band(clean), None
+        if (ends[1:, 0] < ends[:-1, 1]).any():
+            return "overlap"
+        if not nested.all():
+            return "outside"
+        return None if all(len(r["carrier"] or ()) == r["outer_end"] - r["outer_start"] for r in rows) else "carrier"
+
+    def bands(arrays: list[np.ndarray]) -> list[np.ndarray]:
+        """Band-passed arrays; those of one length are filtered together."""
+        sos = dsp.butter_bandpass(config.low, config.high, config.order, config.fs)
+        out: list = [None] * len(arrays)
+        by: dict[int, list[int]] = {}
+        for i, x in enumerate(arrays):
+            by.setdefault(len(x), []).append(i)
+        for at in by.values():
+            for i, y in zip(at, dsp.zero_phase(sos, np.stack([arrays[i] for i in at]))):
+                out[i] = y
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                out: list[list] = [[], [], [], []]
-                keep = []
-                for i, (x, rows) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                    if not x or any(v is None for v in x):
-                        continue
-                    clean, through, problem = one(np.asarray(x, np.float64), rows or [])
-                    keep.append(i)
-                    for c, v in zip(out, (clean, through, len(rows or []), problem)):
-                        c.append(v)
-                kinds = [pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=[key, "clean", "filtered", "regions", "problem"])
+                told = [(i, x, rows or []) for i, (x, rows) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())) if x and None not in x]
+                signals = [np.asarray(x, np.float64) for _, x, _ in told]
+                problems = [fault(x, rows) for x, (_, _, rows) in zip(signals, told)]
+                work = [(n, r, np.asarray(r["carrier"], np.float64)) for n, (_, _, rows) in enumerate(told) if not problems[n] for r in rows]
+                clean, through = list(signals), bands(signals) if domain == "filtered" else []
+                for (n, r, carrier), band in zip(work, bands([c for *_, c in work]) if domain == "filtered" else [None] * len(work)):
+                    core, outer = (r["core_start"], r["core_end"]), (r["outer_start"], r["outer_end"])
+                    clean[n] = dsp.blend(clean[n], carrier, core, outer)
+                    if domain == "filtered":
+                        through[n] = dsp.blend(through[n], band, core, outer)
+                through = through if domain == "filtered" else bands(clean)
+                cols = [pa.array(clean, pa.list_(pa.float64())), pa.array(through, pa.list_(pa.float64())), pa.array([len(rows) for *_, rows in told], pa.int32()), pa.array(problems, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, *_ in told], pa.int32())), *cols], names=[key, "clean", "filtered", "regions", "problem"])
 
     return joined.mapInArrow(run, f"{key} {joined.schema[key].dataType.simpleString()}, {_REPAIRED}")
