@@ -66,7 +66,6 @@ class Coder:
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.size = 0
-        self.agreed: set[bytes] = set()
 
     def _encoded(self, words: list[bytes]) -> tuple[bytes, bytes]:
         """Decimal ids and decoded tokens of words, either joined by spaces."""
@@ -120,20 +119,21 @@ class Coder:
         return b" ".join([o[0] for o in out if o[0]]), b" ".join([o[1] for o in out if o[0]])
 
     def _repaired(self, left: bytes, word: bytes, right: bytes) -> tuple[bytes, bytes]:
-        """A split word encoded anew, once it is seen that it agrees with the words beside it.
+        """A split word's ids, from encoding it anew with a word on either side.
 
-        The span is encoded as one text; its ids have to be those of its words one after
-        the other, or chunks don't stand for themselves with this vocabulary.
+        The span's ids have to begin and end with those of the words beside it, as their
+        chunks have them, or chunks don't stand for themselves with this vocabulary.
         """
-        got = self._encoded([word])
-        if word not in self.agreed:
-            sides = [w for w in (left, word, right) if w]
-            span = self.tokenizer.encode(b" ".join(sides).decode("utf-8", "replace"), add_special_tokens=False).ids
-            if " ".join(map(str, span)).encode() != self._encoded(sides)[0]:
+        got = self.words.get(word)
+        if got is None:
+            span = b" ".join([w for w in (left, word, right) if w]).decode("utf-8", "replace")
+            ids = self.tokenizer.encode_batch_fast([span], add_special_tokens=False)[0].ids
+            told = [str(i).encode() for i in ids]
+            a, b = (self._encoded([w])[0].split() if w else [] for w in (left, right))
+            if told[: len(a)] != a or told[len(told) - len(b) :] != b:
                 raise ValueError("this vocabulary's tokens reach over white space")
-            if len(self.agreed) > KEPT_WORDS:
-                self.agreed.clear()
-            self.agreed.add(word)
+            own = slice(len(a), len(told) - len(b))
+            got = self.words[word] = (b" ".join(told[own]), b" ".join(map(self.names.__getitem__, ids[own])))
         return got
 
 
