@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lmscore, neighbours, packing, pii, simhash, substrings, templates, vecdedup
+from . import bpe, langid, lmscore, middles, negatives, neighbours, packing, pii, shards, simhash, substrings, templates, vecdedup
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -15,5 +15,12 @@ QUERIES = {
     "op8_lm_score": lmscore.op8_lm_score,
     "op9_simhash": simhash.op9_simhash,
     "op10_vector_dedup": vecdedup.op10_vector_dedup,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_fill_in_middle": middles.op12_fill_in_middle,
+    "op13_sharding": shards.op13_sharding,
+}
+SQL: dict[str, str] = {
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_fill_in_middle": middles.OP12_SQL,
+    "op13_sharding": shards.OP13_SQL,
 }
-SQL: dict[str, str] = {}
