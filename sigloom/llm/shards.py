@@ -22,7 +22,7 @@ from .work import Workspace
 SHARDS = 40
 SEED = "mixture"
 #: Rows that a bin aims at, and the most bins there can be (as a power of two).
-BIN_ROWS, MOST_BITS = 1 << 13, 20
+BIN_ROWS, MOST_BITS = 1 << 10, 20
 
 
 def _ranked(rows: DataFrame, key: str, bin_: str, order: list[Column], ws: Workspace) -> DataFrame:
