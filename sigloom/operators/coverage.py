@@ -206,11 +206,11 @@ def coverage_rates(covered: DataFrame, key: str) -> DataFrame:
 
 
 def telling_cases(covered: DataFrame, key: str) -> DataFrame:
-    """``(class, role, key, nearest, distance)``: of each class the covered query nearest to the median of those, the last one covered and the first one not."""
+    """``(class, role, key, nearest, distance)``: of each class the covered query nearest to the median of those, the last one covered and the first one not. Ties (to nine digits about the median) go to the lesser key."""
     inside = covered.where("covered").groupBy("class")
     middle = exact_quantile(covered.where("covered"), ["class"], "distance", 0.5).select("class", F.col("quantile").alias("_m"))
     one = F.struct(F.col(key).alias("k"), "nearest", "distance")
-    first = covered.where("covered").join(F.broadcast(middle), "class").groupBy("class").agg(F.min_by(one, F.struct(F.abs(F.col("distance") - F.col("_m")), F.col(key))).alias("x"), F.lit("inside").alias("role"))
+    first = covered.where("covered").join(F.broadcast(middle), "class").groupBy("class").agg(F.min_by(one, F.struct(F.round(F.abs(F.col("distance") - F.col("_m")), 9), F.col(key))).alias("x"), F.lit("inside").alias("role"))
     last = inside.agg(F.min_by(one, F.struct(-F.col("distance"), F.col(key))).alias("x"), F.lit("boundary").alias("role"))
     out = covered.where("not covered").groupBy("class").agg(F.min_by(one, F.struct("distance", F.col(key))).alias("x"), F.lit("outside").alias("role"))
     return first.union(last).union(out).select("class", "role", F.col("x.k").alias(key), "x.nearest", "x.distance")

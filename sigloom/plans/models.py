@@ -83,7 +83,7 @@ def class_coverage(spark, sf_dir):
 @query(
     "telling_cases",
     f"""{_BASE}, h AS (SELECT class, quantile_cont(distance, 0.5) AS m FROM c WHERE covered GROUP BY 1), r AS (
-        SELECT class, 'inside' AS role, arg_min(c_custkey, (abs(distance - m), c_custkey)) AS c_custkey FROM c JOIN h USING (class) WHERE covered GROUP BY 1 UNION ALL
+        SELECT class, 'inside' AS role, arg_min(c_custkey, (round(abs(distance - m), 9), c_custkey)) AS c_custkey FROM c JOIN h USING (class) WHERE covered GROUP BY 1 UNION ALL
         SELECT class, 'boundary', arg_min(c_custkey, (-distance, c_custkey)) FROM c WHERE covered GROUP BY 1 UNION ALL
         SELECT class, 'outside', arg_min(c_custkey, (distance, c_custkey)) FROM c WHERE NOT covered GROUP BY 1)
         SELECT r.class, role, r.c_custkey, nearest, round(distance, 6) AS distance FROM r JOIN c ON r.class = c.class AND r.c_custkey = c.c_custkey""",
