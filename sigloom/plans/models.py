@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import coverage as C
+from ..operators import discrimination as D
 from ..operators import fits as L
+from ..operators import resampling as R
 from .queries import rounded, supplier_traces, table
 from .registry import query
 
@@ -90,3 +92,37 @@ def class_coverage(spark, sf_dir):
 )
 def telling_cases(spark, sf_dir):
     return rounded(C.telling_cases(_covered(spark, sf_dir)[0], "c_custkey"), "distance")
+
+
+@query("bootstrap_means")
+def bootstrap_means(spark, sf_dir):
+    """Mean price of a line by return flag; suppliers, and within them orders, are drawn with replacement."""
+    li = table(spark, sf_dir, "lineitem")
+    return rounded(R.bootstrap_means(li, ["l_returnflag"], [["l_suppkey"], ["l_orderkey"]], "l_extendedprice", replicates=100), "estimate", "low", "high")
+
+
+@query("bootstrap_spearman")
+def bootstrap_spearman(spark, sf_dir):
+    """Rank correlations of customers' profiles by segment, nations drawn with replacement and customers within them."""
+    c = profiles(spark, sf_dir, "F").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    told = R.bootstrap_spearman(c, ["seg"], [["c_nationkey"], ["c_custkey"]], PROFILE, replicates=100)
+    return rounded(told, "rho", "low", "high", "partial", "partial_low", "partial_high")
+
+
+_FOLDS = """c AS (SELECT l_suppkey AS k, l_returnflag AS l, count(*) AS c FROM lineitem GROUP BY 1, 2), g AS (SELECT k, sum(c) AS n, arg_min(l, (-c, l)) AS lead FROM c GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lead ORDER BY n DESC, k) - 1 AS i, dense_rank() OVER (ORDER BY lead) - 1 AS first FROM g)"""
+
+
+@query("group_folds", f"WITH {_FOLDS} SELECT k AS l_suppkey, ((CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END + first) % 5)::INT AS fold FROM o")
+def group_folds(spark, sf_dir):
+    return D.group_folds(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
+
+
+@query("grouped_discrimination")
+def grouped_discrimination(spark, sf_dir):
+    """How well a line's return flag is told from its figures, each alone and together, on suppliers that were not learned from."""
+    li = table(spark, sf_dir, "lineitem").withColumn("day", F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double"))
+    features = ["l_quantity", "l_extendedprice", "day"]
+    sets = {c: [c] for c in features} | {"all_three": features}
+    told = D.held_out_predictions(li, "l_suppkey", "l_returnflag", features, sets)
+    return rounded(D.contract_scores(told, "l_suppkey", replicates=100), "estimate", "low", "high")
