@@ -7,9 +7,11 @@ the other side in every bucket that it can reach, so no key is crossed with anot
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,51 @@ def greedy_pairs(pairs: list[tuple], left: int = 0, right: int = 1) -> list[tupl
     return out
 
 
+def _begins(t: pa.Table, columns: list[str]) -> np.ndarray:
+    """Rows of a sorted table at which one of the columns changes."""
+    out = np.zeros(t.num_rows, bool)
+    out[:1] = True
+    for c in columns:
+        x = t.column(c).combine_chunks()
+        x = pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+        a, b = x.slice(1), x.slice(0, len(x) - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        out[1:] |= differ.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(out)
+
+
+def each_island(told: DataFrame, keys: list[str], schema: str, alone: Callable[[pa.Table], pa.Table | None], run: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """``run`` on the rows of every island of several rows, ``alone`` on all others at once (None: they give nothing).
+
+    Islands are dealt by key and number and stream through a task in order, which holds a batch and
+    the island that is not yet whole. Only islands of several rows cost a call.
+    """
+    by = [*keys, "_island"]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solved(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            size = np.diff(np.r_[starts, t.num_rows])
+            single = alone(t.take(pa.array(starts[size == 1]))) if (size == 1).any() else None
+            made = [run(t.slice(i, n)) for i, n in zip(starts[size > 1].tolist(), size[size > 1].tolist())]
+            for part in ([single] if single is not None else []) + ([pa.concat_tables(made)] if made else []):
+                yield from part.combine_chunks().to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            starts = _begins(t, by)
+            if len(starts) > 1:
+                yield from solved(t.slice(0, starts[-1]), starts[:-1])
+            held = t.slice(starts[-1]).to_batches()
+        if held:
+            yield from solved(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    return told.repartition(*by).sortWithinPartitions(*by).mapInArrow(stream, schema)
+
+
 def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], at: str, key: str, tolerance: float) -> DataFrame:
     """One-to-one pairs within the tolerance, the closest first, ties by left and right id."""
     pairs = within(left.select(*keys, key, at), right.select(*keys, key, at), keys, at, tolerance)
@@ -155,8 +202,9 @@ def optimal_match(left: DataFrame, right: DataFrame, keys: list[str], key: str,
     kind = dict(left.dtypes)
     schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), f"l_key {kind[key]}", f"r_key {dict(right.dtypes)[key]}", "iou double"])
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        a, b = a.sort_by([("start", "ascending"), (key, "ascending")]), b.sort_by([("start", "ascending"), (key, "ascending")])
+    def run(both: pa.Table) -> pa.Table:
+        both = both.sort_by([("start", "ascending"), (key, "ascending")])
+        a, b = both.filter(both.column("_left")), both.filter(pc.invert(both.column("_left")))
         (s, e), (t, f) = ([x.column(c).to_numpy().astype(float) for c in ("start", "end")] for x in (a, b))
         inter = np.clip(np.minimum(e[:, None], f) - np.maximum(s[:, None], t), 0, None)
         hull = np.maximum(e[:, None], f) - np.minimum(s[:, None], t)
@@ -171,8 +219,7 @@ def optimal_match(left: DataFrame, right: DataFrame, keys: list[str], key: str,
     both = left.select(*cols, F.lit(True).alias("_left")).unionByName(right.select(*cols, F.lit(False).alias("_left")))
     center = (F.col("start") + F.col("end")) / 2
     told = with_islands(both, keys, F.least(F.col("start"), center - reach / 2), F.greatest(F.col("end"), center + reach / 2))
-    sides = [told.where(side).drop("_left").groupBy(*keys, "_island") for side in ("_left", "not _left")]
-    return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
+    return each_island(told, keys, schema, lambda t: None, run)
 
 
 def suppress(df: DataFrame, keys: list[str], key: str, score: str, iou: float) -> DataFrame:
@@ -202,7 +249,10 @@ def suppress(df: DataFrame, keys: list[str], key: str, score: str, iou: float) -
             kept.append(i)
         return table.drop_columns(["_island"]).append_column("kept_by", pa.array(by, table.schema.field(key).type))
 
-    return with_islands(rows, keys, F.col("start"), F.col("end")).groupBy(*keys, "_island").applyInArrow(run, schema)
+    def alone(table: pa.Table) -> pa.Table:
+        return table.drop_columns(["_island"]).append_column("kept_by", pa.nulls(table.num_rows, table.schema.field(key).type))
+
+    return each_island(with_islands(rows, keys, F.col("start"), F.col("end")), keys, schema, alone, run)
 
 
 def drifting_dedup(df: DataFrame, keys: list[str], key: str, frequency: str, time: str, energy: str, d_frequency: float, d_time: float) -> DataFrame:
@@ -226,7 +276,8 @@ def drifting_dedup(df: DataFrame, keys: list[str], key: str, frequency: str, tim
                 reps.append(i)
         return table.drop_columns(["_island"]).take(pa.array(reps, pa.int64()))
 
-    return with_islands(rows, keys, F.col(time), F.col(time), d_time).groupBy(*keys, "_island").applyInArrow(run, rows.schema)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return each_island(with_islands(rows, keys, F.col(time), F.col(time), d_time), keys, schema, lambda t: t.drop_columns(["_island"]), run)
 
 
 def spaced_choice(df: DataFrame, keys: list[str], start: str, value: str, apart: float, most: int) -> DataFrame:

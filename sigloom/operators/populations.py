@@ -41,7 +41,7 @@ def _cumulative(df: DataFrame, value: str, group: str, groups: list) -> DataFram
 
 
 def kruskal(df: DataFrame, value: str, group: str, groups: list) -> DataFrame:
-    """One row: n, h (corrected for ties) and the degrees of freedom of the rank test over all groups."""
+    """One row: n, h (corrected for ties) and the degrees of freedom of the rank test over all groups; h is null where all values are equal or there are none."""
     rows = _cumulative(df, value, group, groups)
     k = range(len(groups))
     plus = lambda p: sum((F.col(f"{p}{i}") for i in k), F.lit(0))
@@ -49,13 +49,14 @@ def kruskal(df: DataFrame, value: str, group: str, groups: list) -> DataFrame:
     sums = tied.agg(F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"), *[F.sum(f"c{i}").alias(f"n{i}") for i in k], *[F.sum(F.col("rank") * F.col(f"c{i}")).alias(f"r{i}") for i in k])
     n = F.col("n")
     square = sum((F.when(F.col(f"n{i}") > 0, F.col(f"r{i}") * F.col(f"r{i}") / F.col(f"n{i}")).otherwise(0.0) for i in k), F.lit(0.0))
-    h = (12 / (n * (n + 1)) * square - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    spread = 1 - F.try_divide(F.col("ties"), n * n * n - n)
+    h = F.try_divide(12 / (n * (n + 1)) * square - 3 * (n + 1), spread)
     used = sum((F.when(F.col(f"n{i}") > 0, 1).otherwise(0) for i in k), F.lit(0))
-    return sums.select(n.cast("long").alias("n"), h.alias("h"), (used - 1).cast("int").alias("df"))
+    return sums.select(F.coalesce(n, F.lit(0.0)).cast("long").alias("n"), h.alias("h"), F.greatest(used - 1, F.lit(0)).cast("int").alias("df"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, groups: list) -> DataFrame:
-    """For each pair of groups: u of the first, z (corrected for ties and continuity); all pairs from one pass over distinct values."""
+    """For each pair of groups: u of the first, z (corrected for ties and continuity; null where a side is empty or all values are equal); all pairs from one pass over distinct values."""
     rows = _cumulative(df, value, group, groups)
     pairs = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
     cols = []
@@ -66,26 +67,30 @@ def mann_whitney(df: DataFrame, value: str, group: str, groups: list) -> DataFra
     told = F.array(*[F.struct(F.lit(groups[i]).alias("a"), F.lit(groups[j]).alias("b"), F.col(f"n{i}").alias("m"), F.col(f"n{j}").alias("n"), F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("t")) for i, j in pairs])
     one = sums.select(F.explode(told).alias("p")).select("p.*")
     mn, total = F.col("m") * F.col("n"), F.col("m") + F.col("n")
-    spread = F.sqrt(mn / 12 * ((total + 1) - F.col("t") / (total * (total - 1))))
+    spread = F.sqrt(mn / 12 * ((total + 1) - F.try_divide(F.col("t"), total * (total - 1))))
     far = F.col("u") - mn / 2
     z = F.when(spread > 0, F.signum(far) * F.greatest(F.abs(far) - 0.5, F.lit(0.0)) / spread)
     return one.select("a", "b", F.col("m").cast("long").alias("n_a"), F.col("n").cast("long").alias("n_b"), "u", z.alias("z"))
 
 
 def anova(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: f and its degrees of freedom, from counts, means and squares of deviations of each group."""
+    """One row: f and its degrees of freedom, from counts, means and squares of deviations of each group.
+
+    f is null with fewer than two groups, with no more rows than groups, and where no group varies.
+    """
     one = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    total = one.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("squares"))
+    total = one.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("squares"))
     between = F.col("squares") - F.col("n") * F.col("mean") * F.col("mean")
-    return total.select((between / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
+    f = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k")))
+    return total.select(f.alias("f"), F.greatest(F.col("k") - 1, F.lit(0)).alias("df_between"), F.coalesce(F.col("n") - F.col("k"), F.lit(0)).alias("df_within"))
 
 
 def distances(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """One row: Kolmogorov-Smirnov, first Wasserstein and energy distance of two groups, by their distribution functions over distinct values."""
+    """One row: Kolmogorov-Smirnov, first Wasserstein and energy distance of two groups, by their distribution functions over distinct values; nulls where one is empty."""
     rows = _cumulative(df, value, group, [a, b])
     size = rows.agg(F.sum("c0").alias("m"), F.sum("c1").alias("n"))
     told = rows.crossJoin(F.broadcast(size))  # one row
-    gap = (F.col("b0") + F.col("c0")) / F.col("m") - (F.col("b1") + F.col("c1")) / F.col("n")
+    gap = F.try_divide(F.col("b0") + F.col("c0"), F.col("m")) - F.try_divide(F.col("b1") + F.col("c1"), F.col("n"))
     wide = F.coalesce(F.col("next") - F.col("value"), F.lit(0.0))
     return told.agg(F.max(F.abs(gap)).alias("ks"), F.sum(F.abs(gap) * wide).alias("wasserstein"), (2 * F.sum(gap * gap * wide)).alias("energy"))
 
@@ -167,20 +172,24 @@ def distribution_overlap(df: DataFrame, group: str, band: Column) -> DataFrame:
     return one.join(two, "band").where("a < b").groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("overlap"))
 
 
-def slowdown(df: DataFrame, group: list[str], x: str, y: str, share: float = 0.2) -> DataFrame:
-    """``(group, threshold)``: the first x after the steepest rise at which the smoothed curve's slope is ``share`` of that or less.
+def slowdown(df: DataFrame, group: list[str], x: str, y: str, share: float = 0.2, smooth_from: int = 5, plateau: float = 0.95) -> DataFrame:
+    """``(group, threshold)``: where a curve stops rising, by its slope from each x to the next.
 
-    y is smoothed over three points; at an end the end point counts twice.
+    The first x beyond the steepest step whose own step has ``share`` of the steepest slope or less; if there is
+    none, the first x whose y reaches ``plateau`` of the greatest; on a curve that never rises the first x; null with fewer than three points. Curves
+    of ``smooth_from`` points or more are smoothed over three points first, end points counting twice at the ends.
     """
-    w = Window.partitionBy(*group).orderBy(x)
+    w, all_ = Window.partitionBy(*group).orderBy(x), Window.partitionBy(*group)
+    told = df.withColumn("_n", F.count(F.lit(1)).over(all_))
     smooth = (F.coalesce(F.lag(y).over(w), F.col(y)) + F.col(y) + F.coalesce(F.lead(y).over(w), F.col(y))) / 3
-    told = df.withColumn("_s", smooth)
-    told = told.withColumn("_d", F.col("_s") - F.lag("_s").over(w)).where(F.col("_d").isNotNull())
-    all_ = Window.partitionBy(*group)
-    told = told.withColumn("_peak", F.max("_d").over(all_))
+    told = told.withColumn("_s", F.when(F.col("_n") >= smooth_from, smooth).otherwise(F.col(y)))
+    told = told.withColumn("_d", (F.col("_s") - F.lag("_s").over(w)) / F.greatest(F.col(x) - F.lag(x).over(w), F.lit(1e-9)))
+    told = told.withColumn("_peak", F.max("_d").over(all_)).withColumn("_top", F.max("_s").over(all_))
     told = told.withColumn("_at", F.min(F.when(F.col("_d") == F.col("_peak"), F.col(x))).over(all_))
-    after = (F.col(x) > F.col("_at")) & (F.col("_d") <= share * F.col("_peak")) & (F.col("_peak") > 0)
-    return told.groupBy(*group).agg(F.min(F.when(after, F.col(x))).alias("threshold"))
+    after = F.min(F.when((F.col(x) > F.col("_at")) & (F.col("_d") <= share * F.col("_peak")), F.col(x)))
+    reached = F.coalesce(F.min(F.when(F.col("_s") >= plateau * F.col("_top"), F.col(x))), F.max(x))
+    rising = F.max("_peak") > 0
+    return told.groupBy(*group).agg(F.when(F.max("_n") < 3, None).when(rising, F.coalesce(after, reached)).otherwise(F.min(x)).alias("threshold"))
 
 
 def scaled_distance(center: dict[str, float], scales: dict[str, float], weights: dict[str, float] | None = None) -> Column:

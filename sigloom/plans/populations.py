@@ -123,11 +123,12 @@ def distribution_overlap(spark, sf_dir):
 
 @query(
     "slowdown",
-    """WITH p AS (SELECT event_type, floor(value / 5)::DOUBLE AS x, count(*)::DOUBLE AS n FROM events WHERE value < 100 GROUP BY 1, 2), c AS (SELECT event_type, x, sum(n) OVER (PARTITION BY event_type ORDER BY x) AS y FROM p),
-       s AS (SELECT event_type, x, (coalesce(lag(y) OVER w, y) + y + coalesce(lead(y) OVER w, y)) / 3 AS s FROM c WINDOW w AS (PARTITION BY event_type ORDER BY x)),
-       d AS (SELECT event_type, x, s - lag(s) OVER (PARTITION BY event_type ORDER BY x) AS d FROM s), k AS (SELECT *, max(d) OVER (PARTITION BY event_type) AS top FROM d WHERE d IS NOT NULL),
-       a AS (SELECT *, min(CASE WHEN d = top THEN x END) OVER (PARTITION BY event_type) AS steep FROM k)
-       SELECT event_type, min(CASE WHEN x > steep AND d <= 0.2 * top AND top > 0 THEN x END) AS threshold FROM a GROUP BY 1""",
+    """WITH p AS (SELECT event_type, floor(value / 5)::DOUBLE AS x, count(*)::DOUBLE AS n FROM events WHERE value < 100 GROUP BY 1, 2), c AS (SELECT event_type, x, sum(n) OVER (PARTITION BY event_type ORDER BY x) AS y, count(*) OVER (PARTITION BY event_type) AS k FROM p),
+       s AS (SELECT event_type, x, k, CASE WHEN k >= 5 THEN (coalesce(lag(y) OVER w, y) + y + coalesce(lead(y) OVER w, y)) / 3 ELSE y END AS s FROM c WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+       d AS (SELECT *, (s - lag(s) OVER w) / greatest(x - lag(x) OVER w, 1e-9) AS d FROM s WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+       t AS (SELECT *, max(d) OVER (PARTITION BY event_type) AS top, max(s) OVER (PARTITION BY event_type) AS best FROM d),
+       a AS (SELECT *, min(CASE WHEN d = top THEN x END) OVER (PARTITION BY event_type) AS steep FROM t)
+       SELECT event_type, CASE WHEN max(k) < 3 THEN NULL WHEN max(top) > 0 THEN coalesce(min(CASE WHEN x > steep AND d <= 0.2 * top THEN x END), min(CASE WHEN s >= 0.95 * best THEN x END), max(x)) ELSE min(x) END AS threshold FROM a GROUP BY 1""",
 )
 def slowdown(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value < 100").groupBy("event_type", F.floor(F.col("value") / 5).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -43,3 +43,34 @@ def test_a_proposal_inside_a_replaced_interval_goes(spark):
     rows = spark.sql("select explode(array(5, 15, 24, 40)) as c, true as ok union all select 24, false")
     got = sorted((r.c, r.ok, r.d.reason, r.d.kept) for r in rows.select("c", "ok", C.boundary_decision(F.col("c"), gone, 5.0, F.col("ok")).alias("d")).collect())
     assert got == [(5, True, "supported", True), (15, True, "inside", False), (24, False, "no_clean_support", False), (24, True, "supported", True), (40, True, "clear", True)]
+
+
+def test_tests_without_spread_give_nulls(spark):
+    make = lambda rows: spark.createDataFrame(rows, "g string, x double")
+    tied = make([("a", 1.0), ("a", 1.0), ("b", 1.0)])
+    h = P.kruskal(tied, "x", "g", ["a", "b"]).first()
+    assert (h.n, h.h, h.df) == (3, None, 1)
+    z = P.mann_whitney(tied, "x", "g", ["a", "b"]).first()
+    assert (z.u, z.z, z.n_a, z.n_b) == (1.0, None, 2, 1)
+    assert P.mann_whitney(make([("a", 1.0)]), "x", "g", ["a", "b"]).first().z is None
+    assert P.mann_whitney(make([("a", 1.0), ("b", 2.0)]), "x", "g", ["a", "b"]).first().u == 0.0
+    assert P.kruskal(make([("a", 1.0)]), "x", "g", ["a", "b"]).first().h is None
+    one = P.distances(make([("a", 1.0), ("a", 2.0)]), "x", "g", "a", "b").first()
+    assert (one.ks, one.wasserstein, one.energy) == (None, None, None)
+    for rows, df in (([("a", 1.0), ("a", 2.0)], (0, 1)), ([("a", 1.0), ("b", 1.0), ("b", 1.0)], (1, 1)), ([("a", 1.0), ("b", 2.0)], (1, 0)), ([("a", None)], (0, 0))):
+        f = P.anova(make(rows), "x", "g").first()
+        assert f.f is None and (f.df_between, f.df_within) == df
+
+
+def test_slowdown_tells_the_readings_apart(spark):
+    curves = {
+        "uneven": [(0, 0.0), (1, 1.0), (11, 2.0), (12, 3.0)],  # differences are equal, slopes are not: the wide step is slow
+        "flat": [(2, 5.0), (3, 5.0), (4, 5.0)],
+        "falling": [(7, 5.0), (8, 4.0), (9, 3.0)],
+        "straight": [(0, 0.0), (1, 10.0), (2, 20.0), (3, 30.0)],  # no slow step: 95 % of the best
+        "two": [(0, 0.0), (1, 1.0)],
+        "five": [(0, 0.0), (1, 0.0), (2, 9.0), (3, 9.0), (4, 9.0)],  # smoothed: 0, 3, 6, 9, 9
+    }
+    df = spark.createDataFrame([(g, float(x), y) for g, c in curves.items() for x, y in c], "g string, x double, y double")
+    got = {r.g: r.threshold for r in P.slowdown(df, ["g"], "x", "y").collect()}
+    assert got == {"uneven": 11.0, "flat": 2.0, "falling": 7.0, "straight": 3.0, "two": None, "five": 4.0}
