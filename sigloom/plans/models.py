@@ -9,6 +9,7 @@ from ..functions import expr as X
 from ..operators import coverage as C
 from ..operators import discrimination as D
 from ..operators import fits as L
+from ..operators import normality as N
 from ..operators import resampling as R
 from .queries import rounded, supplier_traces, table
 from .registry import query
@@ -126,3 +127,29 @@ def grouped_discrimination(spark, sf_dir):
     sets = {c: [c] for c in features} | {"all_three": features}
     told = D.held_out_predictions(li, "l_suppkey", "l_returnflag", features, sets)
     return rounded(D.contract_scores(told, "l_suppkey", replicates=100), "estimate", "low", "high")
+
+
+@query(
+    "normality",
+    """WITH m AS (SELECT event_type, count(*)::DOUBLE AS n, avg(value) AS a FROM events GROUP BY 1),
+       c AS (SELECT e.event_type, any_value(n) AS n, avg(power(value - a, 2)) AS m2, avg(power(value - a, 3)) AS m3, avg(power(value - a, 4)) AS m4 FROM events e JOIN m USING (event_type) GROUP BY 1),
+       s AS (SELECT *, m3 / power(m2, 1.5) * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+             (m4 / (m2 * m2) - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+             6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM c),
+       w AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS a FROM s),
+       z AS (SELECT event_type, n, ln(y * sqrt((w2 - 1) / 2) + sqrt(y * y * (w2 - 1) / 2 + 1)) / sqrt(0.5 * ln(w2)) AS z1,
+             (1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * power((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))), 1 / 3.0)) / sqrt(2 / (9 * a)) AS z2 FROM w)
+       SELECT event_type, n::BIGINT AS n, 'dagostino' AS test, round(z1 * z1 + z2 * z2, 4) AS statistic, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p FROM z""",
+)
+def normality(spark, sf_dir):
+    """Values by type; ``most`` is zero here, so that all sizes go by moments, which SQL has. Order statistics: ``group_comparison``."""
+    return rounded(N.normality(table(spark, sf_dir, "events"), ["event_type"], "value", most=0).withColumn("statistic", F.round("statistic", 4)), "p")
+
+
+@query("group_comparison")
+def group_comparison(spark, sf_dir):
+    """Customers' balances by segment: the overall test that their normality allows, and each two segments."""
+    overall, pairs = N.compare_groups(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
+    one = overall.select("test", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), "statistic", "p", F.lit(None).cast("double").alias("p_bonferroni"), F.lit(None).cast("double").alias("delta"))
+    told = one.union(pairs.select(F.lit("mann_whitney").alias("test"), "a", "b", F.col("u").alias("statistic"), "p", "p_bonferroni", "delta"))
+    return rounded(told, "statistic", "p", "p_bonferroni", "delta")
