@@ -33,13 +33,13 @@ def _cost(r: np.ndarray, soft: float | None) -> tuple[np.ndarray, np.ndarray]:
     return soft * soft * (np.sqrt(z) - 1).sum(1), z**-0.5
 
 
-def bounded_least_squares(model: Model, start: np.ndarray, low: np.ndarray, high: np.ndarray, soft: float | None = None, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def bounded_least_squares(model: Model, start: np.ndarray, low: np.ndarray, high: np.ndarray, soft: float | None = None, rounds: int = 400, tol: float = 1e-15) -> tuple[np.ndarray, np.ndarray]:
     """(problems, parameters) of least cost within bounds, and the costs.
 
     ``model(x, which)`` gives residuals (problems, points) and their derivatives (problems, points, parameters)
     of the problems ``which``. A parameter at a bound that the gradient pushes
-    outwards is held there for the step; a step beyond a bound ends on it. Problems that are
-    done leave the stack.
+    outwards is held there for the step; a step beyond a bound ends on it. A problem leaves the
+    stack once three steps in a row lower its cost by no more than ``tol`` of it.
     """
     x = np.clip(start, low, high)
     which = np.arange(len(x))
@@ -65,7 +65,7 @@ def bounded_least_squares(model: Model, start: np.ndarray, low: np.ndarray, high
         cost2, w2 = _cost(r2, soft)
         good = np.isfinite(cost2) & (cost2 <= cost)
         small = (np.abs(step) <= 1e-9 * (1e-3 + np.abs(x))).all(1)
-        still = np.where(small | (good & (cost - cost2 <= 1e-15 * cost)), still + 1, 0)
+        still = np.where(small | (good & (cost - cost2 <= tol * cost)), still + 1, 0)
         x = np.where(good[:, None], x + step, x)
         cost = np.where(good, cost2, cost)
         r, w = (np.where(good[:, None], b, a) for a, b in ((r, r2), (w, w2)))
@@ -114,6 +114,9 @@ class EnvelopeFit:
     exponent: tuple[float, float] = (1.0, 4.0)
     apart_ms: tuple[float, ...] = (0.08, 0.18, 0.36)
     ratios: tuple[float, ...] = (0.45, 0.80)
+    trial: tuple[int, int, int] = (12, 4, 2)  # rounds that all guesses get on every so manieth point, and how many go on
+    rounds: int = 120
+    tol: float = 1e-9
 
 
 LOBE = "height double, center_ms double, left_ms double, right_ms double, shape double, area double"
@@ -161,30 +164,38 @@ def starts(t: np.ndarray, e: np.ndarray, c: EnvelopeFit) -> tuple[list[list[floa
 
 
 def _solve(t: np.ndarray, e: np.ndarray, guesses: list[list[list[float]]], c: EnvelopeFit) -> list[tuple[np.ndarray, float]]:
-    """The best fit of each trace from its guesses, and its sum of squares; all guesses of all traces are one stack."""
+    """The best fit of each trace from its guesses, and its sum of squares.
+
+    All guesses of all traces are one stack. They are first tried on a part of the points for a few
+    rounds; of each trace the ones that lead then go on over all points.
+    """
     owner = np.array([i for i, g in enumerate(guesses) for _ in g])
-    x0 = np.array([x for g in guesses for x in g])
-    k = x0.shape[1] // 5
-    top = e.max(1)
-    low, high = (np.empty((len(owner), 5)) for _ in range(2))
-    for j, (a, b) in enumerate([(np.log(np.maximum(top * 0.01, 1e-8)), np.log(np.maximum(top * 2.5, 1e-7))), (t[:, 0], t[:, -1]), *[(np.log(w), np.log(v)) for w, v in [c.width_ms] * 2], c.exponent]):
-        low[:, j], high[:, j] = (np.broadcast_to(v, len(top))[owner] for v in (a, b))
-    low, high = np.tile(low, (1, k)), np.tile(high, (1, k))
-
-    def model(x: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        o = owner[which]
-        v, jac = lobes(t[o], x)
-        unit = np.maximum(top[o], 1e-9)[:, None]
-        return (v - e[o]) / unit, jac / unit[:, :, None]
-
-    x, _ = bounded_least_squares(model, np.clip(x0, low + 1e-8, high - 1e-8), low, high, c.soft)
-    rss = ((lobes(t[owner], x)[0] - e[owner]) ** 2).sum(1)
-    best = []
-    for i in range(len(guesses)):
-        mine = np.flatnonzero(owner == i)
-        j = min(mine, key=lambda m: (rss[m], tuple(x[m])))
-        best.append((x[j], float(rss[j])))
-    return best
+    x = np.array([x for g in guesses for x in g])
+    k, top = x.shape[1] // 5, e.max(1)
+    bounds = [(np.log(np.maximum(top * 0.01, 1e-8)), np.log(np.maximum(top * 2.5, 1e-7))), (t[:, 0], t[:, -1]), *[(np.log(w), np.log(v)) for w, v in [c.width_ms] * 2], c.exponent]
+    low, high = (np.tile(np.stack([np.broadcast_to(b[side], len(top)) for b in bounds], 1), (1, k)) for side in (0, 1))
+
+    def fitted(x: np.ndarray, owner: np.ndarray, every: int, rounds: int) -> np.ndarray:
+        def model(x: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            o = owner[which]
+            v, jac = lobes(t[o, ::every], x)
+            unit = np.maximum(top[o], 1e-9)[:, None]
+            return (v - e[o, ::every]) / unit, jac / unit[:, :, None]
+
+        return bounded_least_squares(model, np.clip(x, low[owner] + 1e-8, high[owner] - 1e-8), low[owner], high[owner], c.soft, rounds, c.tol)[0]
+
+    def ranked(x: np.ndarray, owner: np.ndarray, most: int) -> list[int]:
+        rss = ((lobes(t[owner], x)[0] - e[owner]) ** 2).sum(1)
+        return [j for i in range(len(guesses)) for j in sorted(np.flatnonzero(owner == i), key=lambda m: (rss[m], tuple(x[m])))[:most]]
+
+    rounds, every, most = c.trial
+    if len(owner) > len(guesses):
+        x = fitted(x, owner, every, rounds)
+        lead = ranked(x, owner, most)
+        x, owner = x[lead], owner[lead]
+    x = fitted(x, owner, 1, c.rounds)
+    best = x[ranked(x, owner, 1)]
+    return [(v, float(r)) for v, r in zip(best, ((lobes(t, best)[0] - e) ** 2).sum(1))]
 
 
 def fit_stack(t: np.ndarray, e: np.ndarray, c: EnvelopeFit = EnvelopeFit()) -> list[dict]:

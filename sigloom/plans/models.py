@@ -24,7 +24,8 @@ def envelope_fits(spark, sf_dir):
     second = X.gaussian_tone(4096, 2e6, F.pmod("s_nationkey", F.lit(5)) / 5.0, 20000.0 + F.pmod(key, F.lit(30)) * 1000.0, F.lit(8e-5), middle + 400 + F.pmod(F.abs("s_acctbal"), F.lit(400.0)), F.lit(0.0))
     t = supplier_traces(spark, sf_dir).join(s.select("s_suppkey", middle.alias("middle"), second.alias("second")), "s_suppkey")
     both = t.select("s_suppkey", F.zip_with("signal", "second", lambda a, b: a + b).alias("signal"), (F.col("middle") - 500).alias("start"), (F.col("middle") + 1100).alias("end"))
-    told = L.compared(L.envelope_fits(both, "s_suppkey", "signal", "start", "end"))
+    # a fit costs far more than moving its trace: one file of suppliers is spread over all tasks
+    told = L.compared(L.envelope_fits(both.repartition("s_suppkey"), "s_suppkey", "signal", "start", "end"))
     fit = told.select("s_suppkey", "n_points", F.col("one.center_ms").alias("center_ms"), "bic1", "bic2", "resolvability", "log_height_ratio", "delay_ms", "resolved", "weight", "reason")
     return rounded(fit, "center_ms", "log_height_ratio", "delay_ms", "resolvability", "weight", "bic1", "bic2", digits=4)
 
