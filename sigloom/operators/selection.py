@@ -99,7 +99,8 @@ def free_windows(spans: DataFrame, events: DataFrame, key: str, width: int, step
     grid = spans.where(F.col("end") - F.col("start") >= width).select(key, F.col("start").alias("origin"), F.explode(starts).alias("start"))
     grid = grid.withColumn("cell", ((F.col("start") - F.col("origin")) / step).cast("long"))
     low = F.floor((F.col("e.start") - guard - F.col("s.start") - width) / step) + 1
-    high = F.ceil((F.col("e.end") + guard - F.col("s.start")) / step) - 1
+    # no event reaches beyond the last cell of its key's span
+    high = F.least(F.ceil((F.col("e.end") + guard - F.col("s.start")) / step) - 1, F.floor((F.col("s.end") - F.col("s.start") - width) / step))
     met = events.alias("e").join(spans.alias("s"), F.col(f"e.{key}") == F.col(f"s.{key}")).select(F.col(f"e.{key}").alias(key), F.greatest(F.lit(0), low).cast("long").alias("low"), high.cast("long").alias("high"))
     cells = met.where("high >= low").select(key, F.explode(F.sequence("low", "high")).alias("cell")).distinct()
     return grid.join(cells, [key, "cell"], "left_anti").select(key, "start", (F.col("start") + width).alias("end"))

@@ -74,3 +74,10 @@ def test_slowdown_tells_the_readings_apart(spark):
     df = spark.createDataFrame([(g, float(x), y) for g, c in curves.items() for x, y in c], "g string, x double, y double")
     got = {r.g: r.threshold for r in P.slowdown(df, ["g"], "x", "y").collect()}
     assert got == {"uneven": 11.0, "flat": 2.0, "falling": 7.0, "straight": 3.0, "two": None, "five": 4.0}
+
+
+def test_an_event_far_beyond_the_span_makes_no_cells(spark):
+    spans = spark.createDataFrame([("a", 0, 100), ("b", 0, 5)], "k string, start long, end long")
+    events = spark.createDataFrame([("a", 85, 1 << 60), ("a", -(1 << 60), 12), ("b", 0, 1 << 60)], "k string, start long, end long")
+    got = sorted((r.k, r.start) for r in C.free_windows(spans, events, "k", 10, 10, 0).collect())
+    assert got == [("a", 20), ("a", 30), ("a", 40), ("a", 50), ("a", 60), ("a", 70)]
