@@ -22,7 +22,8 @@ def envelope_fits(spark, sf_dir):
     key = F.col("s_suppkey")
     middle = 1000.0 + F.pmod(key * 37, F.lit(2000))
     second = X.gaussian_tone(4096, 2e6, F.pmod("s_nationkey", F.lit(5)) / 5.0, 20000.0 + F.pmod(key, F.lit(30)) * 1000.0, F.lit(8e-5), middle + 400 + F.pmod(F.abs("s_acctbal"), F.lit(400.0)), F.lit(0.0))
-    t = supplier_traces(spark, sf_dir).join(s.select("s_suppkey", middle.alias("middle"), second.alias("second")), "s_suppkey")
+    # traces are wide: they are met by key, not broadcast
+    t = supplier_traces(spark, sf_dir).hint("merge").join(s, "s_suppkey").withColumns({"middle": middle, "second": second})
     both = t.select("s_suppkey", F.zip_with("signal", "second", lambda a, b: a + b).alias("signal"), (F.col("middle") - 500).alias("start"), (F.col("middle") + 1100).alias("end"))
     # a fit costs far more than moving its trace: one file of suppliers is spread over all tasks
     told = L.compared(L.envelope_fits(both.repartition("s_suppkey"), "s_suppkey", "signal", "start", "end"))
