@@ -116,8 +116,8 @@ _FOLDS = """c AS (SELECT l_suppkey AS k, l_returnflag AS l, count(*) AS c FROM l
     o AS (SELECT *, row_number() OVER (PARTITION BY lead ORDER BY n DESC, k) - 1 AS i, dense_rank() OVER (ORDER BY lead) - 1 AS first FROM g)"""
 
 
-@query("group_folds", f"WITH {_FOLDS} SELECT k AS l_suppkey, ((CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END + first) % 5)::INT AS fold FROM o")
-def group_folds(spark, sf_dir):
+@query("discrimination_folds", f"WITH {_FOLDS} SELECT k AS l_suppkey, ((CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END + first) % 5)::INT AS fold FROM o")
+def discrimination_folds(spark, sf_dir):
     return D.group_folds(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
 
 
