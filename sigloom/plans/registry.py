@@ -11,6 +11,9 @@ SQL: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame, with the SQL that must give the same rows."""
 
+    if name in QUERIES:
+        raise ValueError(f"there is a query {name} already")
+
     def add(f):
         QUERIES[name] = f
         if sql:
