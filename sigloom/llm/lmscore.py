@@ -3,17 +3,21 @@
 Two models of the same order, smoothing and vocabulary are counted from the corpus: the
 target from the documents labelled good, the background from all documents. The
 vocabulary, shared by both, is the ``VOCABULARY`` most frequent words that occur twice
-or more; all others are one word. After one word in ``THIN``, chosen by its hash, the
+or more; all others are one word. After every word of the vocabulary, the
 next word's probability comes from bigrams that back off to words, after any other
-from words alone, so that the model is a proper one with a part of all bigrams. A document
-is scored by counts without its own, so that a text in the target is not favoured for being
-there. Its losses are the mean over its words of -ln p under either model, and its score
-is the difference: below zero, the document is more like the target than the corpus is.
-
-Only the vocabulary is broadcast. Bigram counts grow with the corpus: they are combined
-within tasks and again before the shuffle, stay on the executors as a table, and
-meet the documents' own bigrams in a join that Spark can split. A document's losses are first
-computed as if none of its bigrams stood elsewhere; the join brings what those that do take off.
+from words alone. A document is scored by counts without its own, so that a text in the
+target is not favoured for being there. Its losses are the mean over its words of -ln p
+under either model, and its score is the difference: below zero, the document is more
+like the target than the corpus is.
+
+Only the vocabulary and the ``COMMON`` most frequent bigrams are broadcast. Bigram counts grow
+with the corpus: a bigram is two numbers of words, and bigrams travel packed, those of a
+block of texts and a bucket of bigrams as one row of arrays. Buckets grow in number with the
+corpus. A document's losses are first computed as if none of its bigrams stood elsewhere.
+What its common bigrams take off is known on the spot; the others are met
+with their counts bucket by bucket. As no other bigram stands for more than about one in
+``COMMON`` of all, no bucket grows hot, however often one bigram or text repeats. Of the
+counts, a bucket holds an entry of a bigram for each block of texts.
 """
 
 from __future__ import annotations
@@ -22,64 +26,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .substrings import words_of
 from .work import Workspace
 
-#: Words of the vocabulary, added to each word's count, weight of the shorter context in occurrences, words handled at a time within a task.
-VOCABULARY, ADDED, BACKOFF, HELD = 1 << 18, 0.5, 4.0, 1 << 18
-#: One word in so many is a context.
-THIN = 4
+#: Words of the vocabulary, bigrams that every task knows, added to each word's count, weight of the shorter context in occurrences.
+VOCABULARY, COMMON, ADDED, BACKOFF = 1 << 18, 1 << 20, 0.5, 4.0
+#: Bytes of text that a task handles at a time (or one longer text), and bytes of text for each bucket of bigrams.
+HELD, BUCKET = 1 << 23, 1 << 23
 
 
-def _hashes(text: str | None) -> np.ndarray:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows (key, text, target) -> (keys, targets, numbers of words, each word's place among the distinct ones, these words' hashes) of some rows at a time."""
     import xxhash
 
-    words = words_of(text)
-    return np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in words), np.uint64, len(words)).view(np.int64)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (key, text, target) -> (keys, targets, numbers of words, the words' hashes) of some rows at a time."""
     for batch in batches:
         keys, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        held, start, words = 0, 0, []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            words.append(_hashes(text))
-            held += len(words[-1])
-            if held > HELD or i + 1 == batch.num_rows:
-                yield keys[start : i + 1], marks[start : i + 1], np.array([len(w) for w in words]), np.concatenate(words)
-                held, start, words = 0, i + 1, []
+        texts = batch.column(1).cast(pa.large_string()).fill_null("")
+        block = np.cumsum(pc.binary_length(texts).to_numpy()) // HELD
+        cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)] if len(block) else np.zeros(1, np.int64)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, j - i)))
+            coded = words.flatten().dictionary_encode()
+            code, row = coded.indices.to_numpy(), np.repeat(np.arange(j - i), words.value_lengths().to_numpy())
+            distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+            there = np.array([len(w) > 0 for w in distinct], bool)[code]  # white space at the ends leaves empty words
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct)).view(np.int64)
+            yield keys[i:j], marks[i:j], np.bincount(row[there], minlength=j - i), code[there], hashes
 
 
-def _summed(key: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their counts, in all and in target rows."""
-    one, at, n = np.unique(key, return_inverse=True, return_counts=True)
-    return one, n, np.bincount(at, target, len(one)).astype(np.int64)
+WORD, ALL = range(2)
 
 
-def _pairs(size: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where words stand whose word before is a context, and the hash of the two; and the text's place of every word."""
-    row = np.repeat(np.arange(len(size)), size)
-    at = np.flatnonzero((h[:-1].view(np.uint64) % np.uint64(THIN) == 0) & (row[1:] == row[:-1])) + 1 if len(h) else np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        two = h[at - 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h[at].view(np.uint64)
-        two = (two ^ two >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return at, ((two ^ two >> np.uint64(29)) & np.uint64((1 << 63) - 1)).view(np.int64), row
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text, target) -> counts of words, and of all words and bytes."""
+    for _, marks, size, code, hashes in _blocks(batches):
+        row = np.repeat(np.arange(len(size)), size)
+        n, t = np.bincount(code, minlength=len(hashes)), np.bincount(code, marks[row], len(hashes)).astype(np.int64)
+        some = n > 0
+        kind = np.r_[np.full(some.sum(), WORD, np.int32), np.int32(ALL)]
+        cols = [np.r_[hashes[some], 0], np.r_[n[some], len(code)], np.r_[t[some], size[marks].sum()]]
+        yield pa.RecordBatch.from_arrays([pa.array(kind), *[pa.array(c.astype(np.int64)) for c in cols]], names=["kind", "item", "n", "t"])
 
 
-WORD, PAIR, ALL = range(3)
+def _pack(x: np.ndarray, sorted_: bool = False) -> bytes:
+    """Whole numbers by planes of their bytes, which compress well; ascending ones as steps."""
+    x = np.diff(x, prepend=0) if sorted_ else x
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, text, target) -> counts of words, of pairs after contexts, and of all words."""
-    for _, marks, size, h in _blocks(batches):
-        at, pair, row = _pairs(size, h)
-        parts = [_summed(h, marks[row]), _summed(pair, marks[row[at]]), (np.zeros(1, np.int64), np.array([len(h)]), np.array([size[marks].sum()]))]
-        kind = np.repeat(np.array([WORD, PAIR, ALL], np.int32), [len(p[0]) for p in parts])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), *[pa.array(np.concatenate([p[i] for p in parts]), pa.int64()) for i in range(3)]], names=["kind", "item", "n", "t"])
+def _unpack(data: bytes, sorted_: bool = False) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return np.cumsum(x) if sorted_ else x
+
+
+def _bucket(pair: np.ndarray, buckets: int) -> np.ndarray:
+    h = pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _parts(pair: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets with the places of their pairs, in the order these stand in."""
+    at = _bucket(pair, buckets)
+    order = np.argsort(at, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(at[order])) + 1, len(order)]
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if j > i:
+            yield int(at[order[i]]), order[i:j]
+
+
+def _summed(pair: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, ascending, with the sums of both counts."""
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+    return pair[first], *((np.add.reduceat(x[order], first) if len(first) else x[:0]) for x in (n, t))
 
 
 class Vocabulary:
@@ -102,89 +126,186 @@ class Vocabulary:
         return BACKOFF * (self.counts[model][word] - own + ADDED) / (self.totals[model] - size + ADDED * (len(self.words) + 1))
 
 
-_ROWS = "key long, pair long, c int, own int, size int, word int, words int, background double, target double, marked boolean"
+_COUNTS = "bucket int, pair binary, n binary, t binary"
 
 
-def _apart(shared):
-    """Rows (key, text, target) -> each text's distinct pairs, c times, and one row of its losses as if these stood nowhere else."""
+def _places(v: Vocabulary, size: np.ndarray, code: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's text and number; where words of the vocabulary's follow one; and whose pair, by the numbers of both, is of the vocabulary."""
+    row, word = np.repeat(np.arange(len(size)), size), v.numbers(hashes)[code]
+    at = np.flatnonzero((row[1:] == row[:-1]) & (word[:-1] > 0)) + 1 if len(row) else np.zeros(0, np.int64)
+    return row, word, at, at[word[at] > 0]
+
+
+def _pairs(shared, buckets: int):
+    """Rows (key, text, target) -> counts of pairs, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
-        for keys, marks, size, h in _blocks(batches):
-            at, pair, row = _pairs(size, h)
-            word = v.numbers(h)
-            known = (word[at - 1] > 0) & (word[at] > 0) if len(at) else np.zeros(0, bool)
+        for _, marks, size, code, hashes in _blocks(batches):
+            row, word, _, at = _places(v, size, code, hashes)
+            pair, n, t = _summed(word[at - 1] * (len(v.words) + 1) + word[at], np.ones(len(at), np.int64), marks[row[at]].astype(np.int64))
+            rows = [(b, _pack(pair[i], True), _pack(n[i]), _pack(t[i])) for b, i in _parts(pair, buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), *[pa.binary()] * 3])], names=["bucket", "pair", "n", "t"])
+
+    return run
+
+
+def _united(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """A bucket's counts in one row, without the pairs that stand once: nothing is left of these without their own text."""
+    cols = [[_unpack(x, c == "pair") for x in group.column(c).to_pylist()] for c in ("pair", "n", "t")]
+    pair, n, t = _summed(*map(np.concatenate, cols))
+    more = n > 1
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "pair": [_pack(pair[more], True)], "n": [_pack(n[more])], "t": [_pack(t[more])]})
+
+
+def _grade(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(n) * 16).astype(np.int64)
+
+
+def _graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            grade, many = np.unique(_grade(_unpack(x)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grade), pa.array(many)], names=["grade", "many"])
+
+
+def _common(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs with their counts, ``most`` at most: whole grades of frequency (a 16th of a power of two), from the top."""
+    grades = counted.select("n").mapInArrow(_graded, "grade long, many long").groupBy("grade").agg(F.sum("many").alias("many")).orderBy(F.desc("grade")).collect()
+    have, least = 0, None
+    for g in grades:
+        have += g.many
+        if have > most:
+            break
+        least = g.grade
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pair, n, t in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                pair, n, t = _unpack(pair, True), _unpack(n), _unpack(t)
+                top = _grade(n) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(x[top]) for x in (pair, n, t)], names=["pair", "n", "t"])
+
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = counted.select("pair", "n", "t").mapInArrow(take, "pair long, n long, t long").toArrow()
+    order = np.argsort(got.column("pair").to_numpy())
+    return tuple(got.column(c).to_numpy()[order] for c in ("pair", "n", "t"))  # type: ignore[return-value]
+
+
+def _found(pair: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pairs stand among ``known``, ascending, and whether they do."""
+    if not len(known):
+        return np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
+    at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+    return at, known[at] == pair
+
+
+def _less(v: Vocabulary, word: np.ndarray, c: np.ndarray, own: np.ndarray, size: np.ndarray, marked: np.ndarray, n: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """What pairs that stand n and t times in all take off a text's two losses, where they stand c times."""
+    out = []
+    for model, count in ((0, n), (1, t)):
+        mine = marked.astype(np.int64) if model else np.ones(len(word), np.int64)
+        out.append(c * np.log1p((count - mine * c) / v.spread(model, word, mine * own, mine * size)))
+    return out
+
+
+_PARTS = "own_key long, bucket int, pair binary, row binary, c binary, own binary, key binary, size binary, marked binary, rows int, words int, background double, target double"
+_LOSSES = "key long, rows int, words int, background double, target double"
+
+
+def _apart(shared, buckets: int):
+    """Rows (key, text, target) -> a row of losses for each text, less what its common pairs take off, and its other pairs packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, (common, all_n, all_t) = shared.value
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 7, *[pa.int32()] * 2, *[pa.float64()] * 2]
+        names = [x.split()[0] for x in _PARTS.split(", ")]
+        for keys, marks, size, code, hashes in _blocks(batches):
+            row, word, context, at = _places(v, size, code, hashes)
             _, place, times = np.unique(row * (len(v.words) + 1) + word, return_inverse=True, return_counts=True)
             own = times[place]  # of the word, in its text
-            context = at[word[at - 1] > 0] if len(at) else at
             losses = []
             for model in (0, 1):
                 mine = marks[row].astype(np.int64) if model else np.ones(len(row), np.int64)
                 p = v.spread(model, word, mine * own, mine * size[row])
-                p[context] /= v.counts[model][word[context - 1]] - mine[context] * own[context - 1] + BACKOFF
                 one = np.ones(len(p), bool)
                 one[context] = False
+                p[context] /= v.counts[model][word[context - 1]] - mine[context] * own[context - 1] + BACKOFF
                 p[one] /= BACKOFF
                 losses.append(np.bincount(row, -np.log(p), len(keys)))
-            at, pair = at[known], pair[known]
-            one, first, c = _distinct(row[at], pair)
-            at, r = at[first], one[0]
-            n, k = len(r), len(keys)
-            none = lambda m: np.zeros(m, np.int64)
-            cols = [np.r_[keys[r], keys], np.r_[one[1], -1 - (keys & 0x7FFFFFFF)], np.r_[c, none(k)], np.r_[own[at], none(k)], np.r_[size[r], none(k)], np.r_[word[at], none(k)], np.r_[none(n), size]]
-            blank = np.r_[np.ones(n, bool), np.zeros(k, bool)]
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
-            arrays = [*[pa.array(x, t) for x, t in zip(cols, kinds)], *[pa.array(np.r_[np.zeros(n), x], pa.float64(), mask=blank) for x in losses], pa.array(np.r_[marks[r], marks], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _ROWS.split(", ")])
+            pair, first, c = _distinct(row[at], word[at - 1] * (len(v.words) + 1) + word[at])
+            at, r = at[first], row[at[first]]
+            where, known = _found(pair, common)
+            i = np.flatnonzero(known)
+            off = _less(v, word[at[i]], c[i], own[at[i]], size[r[i]], marks[r[i]], all_n[where[i]], all_t[where[i]])
+            losses = [x - np.bincount(r[i], y, len(keys)) for x, y in zip(losses, off)]
+            i = np.flatnonzero(~known)
+            i = i[np.argsort(pair[i], kind="stable")]
+            out = [[int(k), *[None] * 8, 1, int(m), float(x), float(y)] for k, m, x, y in zip(keys, size, *losses)]
+            for b, j in _parts(pair[i], buckets):
+                j = i[j]
+                texts, to = np.unique(r[j], return_inverse=True)
+                out.append([None, b, _pack(pair[j], True), _pack(to), _pack(c[j]), _pack(own[at[j]]), _pack(keys[texts]), _pack(size[texts]), _pack(marks[texts]), None, None, None, None])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=names)
 
     return run
 
 
 def _distinct(row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, pair), where one of each stands, and how often it does."""
+    """The pairs of distinct (row, pair), where one of each stands, and how often it does."""
     order = np.lexsort((pair, row))
     r, g = row[order], pair[order]
     new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])]) if len(r) else np.zeros(0, np.int64)
-    return np.stack([r[new], g[new]]), order[new], np.diff(np.r_[new, len(r)])
+    return g[new], order[new], np.diff(np.r_[new, len(r)])
 
 
 def _taken_off(shared):
-    """Rows of a text's pairs with their counts n and t -> its losses as they stand, or what a pair takes off."""
+    """A bucket's pairs, block by block, and its counts -> what they take off each text's losses."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(asks: pa.Table, counts: pa.Table) -> pa.Table:
         v: Vocabulary = shared.value
-        for b in batches:
-            col = {n: b.column(n) for n in b.schema.names}
-            num = {n: col[n].fill_null(0).to_numpy(zero_copy_only=False) for n in ("pair", "c", "own", "size", "word", "background", "target", "n", "t")}
-            num["marked"] = col["marked"].to_numpy(zero_copy_only=False)
-            base = num["pair"] < 0
-            out = []
-            for model, count, first in ((0, "n", "background"), (1, "t", "target")):
-                mine = num["marked"].astype(np.int64) if model else 1
-                others = np.where(col[count].is_valid().to_numpy(zero_copy_only=False), num[count] - mine * num["c"], 0)
-                less = num["c"] * np.log1p(others / v.spread(model, num["word"], mine * num["own"], mine * num["size"]))
-                out.append(np.where(base, num[first], -less))
-            yield pa.RecordBatch.from_arrays([col["key"], pa.array(base.astype(np.int32)), col["words"], *map(pa.array, out)], names=["key", "rows", "words", "background", "target"])
+        known, n, t = (_unpack(counts.column(c)[0].as_py(), c == "pair") if len(counts) else np.zeros(0, np.int64) for c in ("pair", "n", "t"))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+        for part in range(len(asks)):
+            got = {c: _unpack(asks.column(c)[part].as_py(), c == "pair") for c in ("pair", "row", "c", "own", "key", "size", "marked")}
+            where, there = _found(got["pair"], known)
+            row, where = got["row"][there], where[there]
+            word = got["pair"][there] % (len(v.words) + 1)
+            off = _less(v, word, got["c"][there], got["own"][there], got["size"][row], got["marked"][row], n[where], t[where])
+            touched = np.unique(row)
+            out[0].append(got["key"][touched])
+            for o, y in zip(out[1:], off):
+                o.append(-np.bincount(row, y, len(got["key"]))[touched])
+        key, background, target = map(np.concatenate, out)
+        none = pa.array(np.zeros(len(key), np.int32))
+        return pa.table({"key": key, "rows": none, "words": none, "background": background, "target": target})
 
     return run
 
 
-def losses(ws: Workspace, marked: DataFrame, most: int = VOCABULARY) -> DataFrame:
+def losses(ws: Workspace, marked: DataFrame, most: int = VOCABULARY, common: int = COMMON) -> DataFrame:
     """``(key, words, background, target)``: the summed losses of the text under each key of ``marked(key, text, target)``.
 
     Of equally frequent words at the end of the vocabulary those of smaller hashes are in it.
     """
     counts = marked.mapInArrow(_count, "kind int, item long, n long, t long").groupBy("kind", "item").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counts = ws.table(counts.where(f"kind = {ALL} or n > 1"))
-    ws.sweep()
     total = counts.where(f"kind = {ALL}").first()
     top = counts.where(f"kind = {WORD}").orderBy(F.desc("n"), "item").limit(most).toArrow()
     v = Vocabulary(*[top.column(c).to_numpy() for c in ("item", "n", "t")], (total.n, total.t) if total else (0, 0))
-    shared = marked.sparkSession.sparkContext.broadcast(v)
-    pairs = counts.where(f"kind = {PAIR}").select(F.col("item").alias("pair"), "n", "t")
-    done = marked.mapInArrow(_apart(shared), _ROWS).join(pairs, "pair", "left").mapInArrow(_taken_off(shared), "key long, rows int, words int, background double, target double")
-    each = ws.table(done.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("rows", "background", "target")], F.max("words").alias("words")))
+    bytes_ = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + bytes_ // BUCKET
+    sc = marked.sparkSession.sparkContext
+    shared = sc.broadcast(v)
+    counted = ws.table(marked.mapInArrow(_pairs(shared, buckets), _COUNTS).groupBy("bucket").applyInArrow(_united, _COUNTS))
     ws.sweep()
+    known = sc.broadcast((v, _common(counted, common)))
+    parts = ws.table(marked.mapInArrow(_apart(known, buckets), _PARTS))
+    base = parts.where("bucket is null").select(F.col("own_key").alias("key"), "rows", "words", "background", "target")
+    off = parts.where("bucket is not null").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_taken_off(shared), _LOSSES)
+    each = ws.table(base.union(off).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("rows", "background", "target")], F.max("words").alias("words")))
+    ws.drop(counts, counted, parts)
     # rows that repeat are summed as often as they stand
     return each.select("key", F.col("words").cast("long").alias("words"), (F.col("background") / F.col("rows")).alias("background"), (F.col("target") / F.col("rows")).alias("target"))
 
@@ -204,7 +325,9 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left")
     marked = ws.table(rows.select(key.alias("key"), "text", F.coalesce("target", F.lit(False)).alias("target")))
     ws.sweep()
-    got = losses(ws, marked).select(F.col("key").alias("_key"), F.col("words").alias("n_tokens"), *[F.when(F.col("words") > 0, F.col(c) / F.col("words")).alias(f"loss_{c}") for c in ("target", "background")])
+    lost = losses(ws, marked)
+    ws.drop(marked)
+    got = lost.select(F.col("key").alias("_key"), F.col("words").alias("n_tokens"), *[F.when(F.col("words") > 0, F.col(c) / F.col("words")).alias(f"loss_{c}") for c in ("target", "background")])
     kept = docs.drop("n_tokens", "loss_target", "loss_background", "score")
     both = kept.withColumn("_key", key).join(got.withColumnRenamed("_key", "_of"), F.col("_key") == F.col("_of"), "left")
     return both.select(*[F.col(f"`{c}`") for c in kept.columns], "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))

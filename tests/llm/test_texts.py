@@ -308,13 +308,12 @@ def test_held_out_accuracy(spark, small):
 
 def plain_scores(texts, good, vocabulary):
     """Losses of each text by the definition: counts of all other texts, one by one."""
-    words = [[w.lower() for w in (t or "").split()] for t in texts]
+    words = [[w.lower() for w in (t or "").encode().split()] for t in texts]
     n = {}
     for ws in words:
         for w in ws:
             n[w] = n.get(w, 0) + 1
     known = set(sorted((w for w in n if n[w] > 1), key=lambda w: -n[w])[:vocabulary])
-    context = {w for w in known if xxhash.xxh64_intdigest(w.encode()) % lmscore.THIN == 0}
     out = []
     for i, own in enumerate(words):
         sums = []
@@ -327,7 +326,7 @@ def plain_scores(texts, good, vocabulary):
             total, loss = sum(uni.values()), 0.0
             for a, b in zip([None, *own], own):
                 p = (uni.get(b if b in known else None, 0) + lmscore.ADDED) / (total + lmscore.ADDED * (len(known) + 1))
-                if a in context:
+                if a in known:
                     p = (bi.get((a, b), 0) + lmscore.BACKOFF * p) / (uni.get(a, 0) + lmscore.BACKOFF)
                 loss -= np.log(p)
             sums.append(loss / len(own) if own else None)
@@ -348,6 +347,18 @@ def test_scores_against_the_definition(spark):
             assert np.isclose(got[i].loss_background, b, atol=1e-9) and np.isclose(got[i].loss_target, t, atol=1e-9) and np.isclose(got[i].score, t - b, atol=1e-9)
 
 
+@pytest.mark.parametrize("common", [0, 40, 1 << 20])
+def test_scores_whether_bigrams_are_common_or_met(spark, monkeypatch, common):
+    monkeypatch.setattr(lmscore, "BUCKET", 500)
+    monkeypatch.setattr(lmscore, "HELD", 900)
+    texts = corpus(40, 5) + ["\u00c9 \u0130stanbul  a\tA\x0b b ", "\u00e9 a A", "a b " * 400]
+    docs = documents(spark, texts)
+    marked = docs.selectExpr("doc_id as key", "text", "doc_id % 3 = 0 as target")
+    got = {r.key: r for r in lmscore.losses(Workspace(spark, "test"), marked, common=common).collect()}
+    for i, (b, t) in enumerate(plain_scores(texts, {i for i in range(len(texts)) if i % 3 == 0}, 1 << 18)):
+        assert np.isclose(got[i].background / got[i].words, b, atol=1e-9) and np.isclose(got[i].target / got[i].words, t, atol=1e-9)
+
+
 def test_scores_order_texts(spark):
     docs = documents(spark, ["good words are here " * 5] * 20 + ["zz qq " * 9] * 20)
     got = {r.doc_id: r for r in lmscore.score(docs, docs.where("doc_id < 10")).collect()}
