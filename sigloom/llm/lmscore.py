@@ -261,7 +261,7 @@ def _distinct(row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _taken_off(shared):
-    """A bucket's pairs, block by block, and its counts -> what they take off each text's losses."""
+    """A bucket's pairs, block by block, and its counts -> what each of them takes off its text's losses, in rows that grow as the pairs do."""
 
     def run(asks: pa.Table, counts: pa.Table) -> pa.Table:
         v: Vocabulary = shared.value
@@ -273,10 +273,9 @@ def _taken_off(shared):
             row, where = got["row"][there], where[there]
             word = got["pair"][there] % (len(v.words) + 1)
             off = _less(v, word, got["c"][there], got["own"][there], got["size"][row], got["marked"][row], n[where], t[where])
-            touched = np.unique(row)
-            out[0].append(got["key"][touched])
+            out[0].append(got["key"][row])
             for o, y in zip(out[1:], off):
-                o.append(-np.bincount(row, y, len(got["key"]))[touched])
+                o.append(-y)
         key, background, target = map(np.concatenate, out)
         none = pa.array(np.zeros(len(key), np.int32))
         return pa.table({"key": key, "rows": none, "words": none, "background": background, "target": target})
