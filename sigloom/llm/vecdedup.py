@@ -16,12 +16,14 @@ Within a component every link is then counted: rows within half the range's angl
 component's first row are linked with each other for certain, by the triangle
 inequality, and are counted at once; all others meet the whole component in blocks.
 
-The links of a bounded set of rows are audited by brute force. Recall is a mean
+The links of a bounded set of rows are audited by brute force: rows drawn at random, rows that
+have links, and of those without the ones whose nearest neighbour in the graph is most alike,
+where a link is missing if one is anywhere. Recall is a mean
 over audited rows, once for rows with few links and once for those with many, and the
 lesser of the two counts, so that a large group does not speak for small ones. While it
-is short of ``RECALL``, the shards overlap more and the graph gets denser; when
-no level reaches it, or too few audited rows have links to tell, all rows are
-compared block by block.
+is short of ``RECALL``, the shards overlap more and the graph gets denser; only when
+no level reaches it, all rows are compared block by block. Without an audited row that has a
+link, the graph's answer stands.
 """
 
 from __future__ import annotations
@@ -45,8 +47,8 @@ OVERLAPS, DEGREES = (2, 4, 8), (16, 24, 48)
 LARGEST, PIECE, BLOCK = 4, 2048, 4096
 #: The pruning factor, the beams of building and searching.
 ALPHA, BUILD, BEAM = 1.2, 20, 6
-#: Rows audited, more while too few have links: of those with links, up to FEW of them, ENOUGH have to be among the audited.
-AUDITS, FEW, ENOUGH = (256, 1024, 4096), 32, 100
+#: Rows audited: drawn at random, with links, and near the range without any. A row has few links up to so many.
+AUDITS, FEW = (256, 1024, 1024), 32
 RECALL = 0.995
 #: Lengths of vectors that have a graph of their own; vectors of others are compared block by block.
 INDEXED = 4
@@ -302,8 +304,8 @@ def flat_graph(ws: Workspace, placed: DataFrame, degree: int) -> DataFrame:
     return ws.table(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
 
-def _edges(ws: Workspace, rows: DataFrame, total: int, cosine: float, overlap: int, degree: int) -> DataFrame:
-    """``(a, b)``: links that join the components of what searches over the flat graph find."""
+def _edges(ws: Workspace, rows: DataFrame, total: int, cosine: float, overlap: int, degree: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``, links that join the components of what searches over the flat graph find, and that graph."""
     placed = _placed(ws, rows, total, overlap)
     graph = flat_graph(ws, placed, degree)
     least = 2 * cosine * cosine - 1 if cosine > 0 else -1.0  # rows less alike than that have no row within range of both
@@ -362,7 +364,7 @@ def _edges(ws: Workspace, rows: DataFrame, total: int, cosine: float, overlap: i
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     checked = checked.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long")
-    return ws.table(sought.where("kind = 0").select("a", "b").union(met).union(checked).distinct())
+    return ws.table(sought.where("kind = 0").select("a", "b").union(met).union(checked).distinct()), graph
 
 
 def _forest(found: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
@@ -473,15 +475,18 @@ def _audit(classes: DataFrame, ids: np.ndarray, queries: np.ndarray, cosine: flo
     return {r.vec_id: r.n for r in counts.collect()}
 
 
-def _truth(classes: DataFrame, total: int, cosine: float) -> tuple[dict[int, int], bool]:
-    """The true number of links of the audited classes that have any, and whether these are enough to judge by."""
-    linked: dict[int, int] = {}
-    for most in AUDITS:
-        ids, q = sample(classes, most, total, "audit")
-        linked = {i: n for i, n in _audit(classes, ids, q, cosine).items() if n} if len(ids) else {}
-        if len(ids) == total or sum(n <= FEW for n in linked.values()) >= ENOUGH:
-            return linked, True
-    return linked, False
+def _audited(rows: DataFrame, graph: DataFrame, counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of an audit, ids ascending, and their vectors: as many of each kind as AUDITS says, so that the driver may hold them."""
+    chance, linked, near = AUDITS
+    best = F.array_max(F.transform("near", lambda x: x["sim"]))
+    told = counts.where("n > 0").select("vec_id")
+    ids = [sample(rows, chance, total, "audit")[0]]
+    ids.append(told.orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id").limit(linked).toArrow().column(0).to_numpy())
+    ids.append(graph.select("vec_id", best.alias("best")).where("best is not null").join(told, "vec_id", "anti").orderBy(F.desc("best"), "vec_id").limit(near).select("vec_id").toArrow().column(0).to_numpy())
+    some = np.unique(np.concatenate(ids))
+    got = rows.where(F.col("vec_id").isin(some.tolist())).select("vec_id", "vec").toArrow()
+    order = np.argsort(got.column("vec_id").to_numpy())
+    return got.column("vec_id").to_numpy()[order], matrix(got.column("vec"))[order] if len(some) else np.zeros((0, 0))
 
 
 def mean_recall(got: dict[int, int], truth: dict[int, int]) -> float:
@@ -492,18 +497,23 @@ def mean_recall(got: dict[int, int], truth: dict[int, int]) -> float:
 
 def _linked(ws: Workspace, rows: DataFrame, total: int, cosine: float, whole: bool) -> tuple[DataFrame, DataFrame, float | None]:
     """Components (node, component), counts (vec_id, n) and the recall of classes of one length; ``whole``: of all, by blocks."""
-    truth, telling = ({}, False) if whole else _truth(rows, total, cosine)
+    truth: dict[int, int] = {}
+    recall = None
     edges = rows.sparkSession.createDataFrame([], "a long, b long")
-    for overlap, degree in [*zip(OVERLAPS, DEGREES), (None, None)] if telling else [(None, None)]:
+    for overlap, degree in [(None, None)] if whole else [*zip(OVERLAPS, DEGREES), (None, None)]:
         if overlap is None:
             edges = _all_edges(ws, rows, total, cosine)
         else:
-            edges = edges.union(_edges(ws, rows, total, cosine, overlap, degree))  # a later level adds to what is found
+            found, graph = _edges(ws, rows, total, cosine, overlap, degree)
+            edges = edges.union(found)  # a later level adds to what is found
         comps = ws.table(connected_components(ws, edges))
         counts = _counts(ws, rows, comps, cosine)
+        if overlap is not None:
+            ids, q = _audited(rows, graph, counts, total)
+            truth |= {i: n for i, n in _audit(rows, ids, q, cosine).items() if n} if len(ids) else {}
         got = {r.vec_id: r.n for r in counts.where(F.col("vec_id").isin(list(truth))).collect()} if truth else {}
         recall = mean_recall(got, truth) if truth else None
-        if overlap is None or recall is None or recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
     return comps, counts, recall
 

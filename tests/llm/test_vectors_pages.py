@@ -118,11 +118,25 @@ def test_an_audit_without_links_decides_nothing(spark, monkeypatch):
     rng = np.random.default_rng(10)
     x = rng.standard_normal((400, 24))
     x[7] = x[300] + 0.01
-    monkeypatch.setattr(vecdedup, "AUDITS", (16,))
+    monkeypatch.setattr(vecdedup, "AUDITS", (16, 4, 4))
     got = sorted(vecdedup.near_duplicates(table(spark, x)).collect())
     assert [r.vec_id for r in got if r.n_links] == [7, 300]
 
 
+def test_few_links_come_through_the_graph(spark, monkeypatch):
+    """One row in a hundred has a link: the audit tells by the rows near the range, and blocks are never compared."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 32))
+    x[3000:3030] = x[:30] + 0.3 * rng.standard_normal((30, 32))
+    called = []
+    monkeypatch.setattr(vecdedup, "_all_edges", lambda *a: called.append(a))
+    got = sorted(vecdedup.near_duplicates(table(spark, x)).collect())
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert not called and want.sum() >= 40 and got[0].recall >= 0.99
+    assert sum(r.n_links for r in got) >= 0.99 * want.sum() and all(r.n_links <= n for r, n in zip(got, want))
+
+
 def test_two_levels_of_clusters_give_the_same_links(spark, clustered, monkeypatch):
     monkeypatch.setattr(vecdedup, "SHARD", 100)
     monkeypatch.setattr(vecdedup, "CLUSTERS", 4)
