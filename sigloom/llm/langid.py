@@ -12,12 +12,12 @@ independent windows, whole and in bounded memory.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +27,7 @@ SPAN = 128
 #: The training sample: so many documents of each language, and windows of so many characters from each.
 PER_LANGUAGE, WINDOWS, WINDOW = 500, 4, 64
 STEPS, BATCH, RATE = 900, 64, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 BLOCK = 2048
 UNDETERMINED = "und"
 

@@ -300,6 +300,14 @@ def test_inference_equals_the_training_pass():
     assert np.allclose(langid.probabilities(m, [text, b"", text])[[0, 2]].sum(1), 1) and langid.probabilities(m, [b""]).sum() == 0
 
 
+def test_letters_are_those_of_unicode():
+    import unicodedata
+
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    wrong = [c for c in every if bool(langid.LETTER.search(c)) != unicodedata.category(c).startswith("L")]
+    assert not wrong and not langid.LETTER.search("\u00bd \u00b2 \u2462")
+
+
 def test_held_out_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
