@@ -1,6 +1,7 @@
 import pytest
 
 from sigloom.plans import cleaning as _c  # noqa: F401
+from sigloom.plans import evidence as _e  # noqa: F401
 from sigloom.plans import models as _m  # noqa: F401
 from sigloom.plans import populations as _p  # noqa: F401
 from sigloom.plans import queries as _  # noqa: F401
