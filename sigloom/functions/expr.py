@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,10 +165,18 @@ def array_rms(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x) / F.size(a)))
 
 
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once for each row; a column named in a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _std_about(a: Column, m: Column) -> Column:
+    return F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)))
+
+
 def array_std(a: Column) -> Column:
     """Population standard deviation."""
-    m = array_mean(a)
-    return F.when(F.size(a) > 0, F.sqrt(F.aggregate(F.transform(a, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x) / F.size(a)))
+    return with_value(array_mean(a), lambda m: _std_about(a, m))
 
 
 def decimate_mean(a: Column, k: int) -> Column:
@@ -178,8 +188,8 @@ def decimate_mean(a: Column, k: int) -> Column:
 
 def z_scored(a: Column) -> Column:
     """Centred, divided by the population deviation; null for a constant array."""
-    m, s = array_mean(a), array_std(a)
-    return F.when(s > 0, F.transform(a, lambda x: (x - m) / s))
+    moments = with_value(array_mean(a), lambda m: F.struct(m.alias("m"), _std_about(a, m).alias("s")))
+    return with_value(moments, lambda v: F.when(v.s > 0, F.transform(a, lambda x: (x - v.m) / v.s)))
 
 
 def padded_crop(a: Column, center: Column, length: int) -> Column:
