@@ -76,6 +76,23 @@ def test_index_measures_a_small_share(spark):
     assert n == 9000 and work < 0.1 * 9000 * 9000
 
 
+def test_what_is_written_grows_with_the_answers(spark, monkeypatch):
+    """Cells and points that a query is measured against stay in the task."""
+    written = []
+    table = C.Staging.table
+
+    def counted(self, df, keep=False):
+        out = table(self, df, keep)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(C.Staging, "table", counted)
+    rng = np.random.default_rng(4)
+    ref, asked = ([(i, "ab"[i % 2], *map(float, rng.normal(size=3))) for i in range(n)] for n in (3000, 1000))
+    got = C.nearest(frame(spark, asked), frame(spark, ref), "k", FEATURES, SCALES, "c", WEIGHTS)
+    assert got.count() == 2000 and sum(written) < 4 * (2000 + 3000 + 1000)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 1000, 4001])
 def test_quantiles_are_the_interpolated_ones(spark, n):
     rng = np.random.default_rng(n)
