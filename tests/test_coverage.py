@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigloom.functions import expr as X
 from sigloom.operators import coverage as C
 
 FEATURES = ["x", "y", "z"]
@@ -102,3 +103,21 @@ def test_quantiles_are_the_interpolated_ones(spark, n):
         got = {r.g: (r.n, r.quantile) for r in C.exact_quantile(df, ["g"], "x", q).collect()}
         for g, a in data.items():
             assert got[g][0] == n and abs(got[g][1] - np.quantile(a, q)) <= 1e-12 * max(1, abs(got[g][1])), (g, q)
+
+
+def test_equal_profiles_tie_whatever_the_order_of_their_rows(spark, tmp_path):
+    """Customers with the same orders, met in another order, have the same mean to the bit, so that ties go to the lesser key."""
+    prices = [0.1, 0.2, 0.3, 1e5 + 0.07, 33.33]
+    orders = [(c, s, p) for s in "FO" for c in range(40) for p in (prices[c % 5 :] + prices[: c % 5])]
+    spark.createDataFrame([(c, "s", 1.0) for c in range(40)], "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_custkey long, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    from sigloom.plans.models import class_nearest
+
+    got = class_nearest(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and {r.nearest for r in got} == {0} and {r.covered for r in got} == {True}
+
+
+def test_steady_mean_of_odd_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", float("nan")), ("b", 1.0), ("c", None), ("d", 1e300), ("d", 2e300)], "g string, x double")
+    got = {r.g: r.m for r in df.groupBy("g").agg(X.steady_mean(F.col("x")).alias("m")).collect()}
+    assert got["a"] == 1.0 and np.isnan(got["b"]) and got["c"] is None and abs(got["d"] / 1.5e300 - 1) < 1e-12
