@@ -697,9 +697,19 @@ def session_windows(spark, sf_dir):
 # traces: one for each supplier, made of its balance; detection has no SQL
 
 
+#: Traces in a task, about; what a task holds does not grow with the table.
+TRACES = 256
+
+
+def spread_suppliers(spark, sf_dir: str) -> DataFrame:
+    """Suppliers dealt to tasks by key. Their rows are small and come in few files, but a trace costs far more than its row: it is made where its task is."""
+    s = table(spark, sf_dir, "supplier")
+    return s.repartition(max(spark.sparkContext.defaultParallelism, -(-s.count() // TRACES)), "s_suppkey")
+
+
 def supplier_traces(spark, sf_dir: str) -> DataFrame:
     """4,096 samples with a Gaussian burst whose place, frequency and width follow the supplier's key, over a faint hum."""
-    s = table(spark, sf_dir, "supplier")
+    s = spread_suppliers(spark, sf_dir)
     key = F.col("s_suppkey")
     burst = X.gaussian_tone(4096, 2e6, F.lit(1.0), 20000.0 + F.pmod(key, F.lit(30)) * 1000.0, F.lit(1e-4), 1000.0 + F.pmod(key * 37, F.lit(2000)), F.lit(0.0))
     hum = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: 0.001 * F.sin(i * i * 0.37 + key))

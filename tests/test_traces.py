@@ -139,3 +139,29 @@ def test_streams_agree_with_batch(spark, small, tmp_path):
     assert key(spark.table("hops")) == key(jobs.hopping(events, "12 hours", "6 hours", "60 days"))
     log = spark.createDataFrame([("a", 1, "no"), ("a", 3, "yes"), ("b", 2, "no"), ("a", 2, "no")], "id string, revision int, said string")
     assert {r.id: r.said for r in jobs.latest_decisions(log, "id", "revision").collect()} == {"a": "yes", "b": "no"}
+
+
+def test_filter_is_the_recursion():
+    """Sections that step together give the bits of one section after the other."""
+    sos = dsp.butter_bandpass(7e3, 80e3, 4, FS)
+    for shape in ((1,), (3,), (2, 5), (2, 3, 40)):
+        x = np.random.default_rng(1).normal(size=shape)
+        y = x
+        for b0, b1, b2, _, a1, a2 in sos:
+            z1 = z2 = np.zeros(shape[:-1])
+            out = np.empty(shape)
+            for i in range(shape[-1]):
+                out[..., i] = b0 * y[..., i] + z1
+                z1 = b1 * y[..., i] - a1 * out[..., i] + z2
+                z2 = b2 * y[..., i] - a2 * out[..., i]
+            y = out
+        assert np.array_equal(dsp.sos_filter(sos, x), y)
+
+
+def test_traces_are_made_in_many_tasks(spark, tmp_path):
+    """One file of suppliers does not put all traces into one task, and a task's share does not grow with the table."""
+    from sigloom.plans.queries import TRACES, supplier_traces
+
+    spark.range(4 * TRACES * 4).selectExpr("id as s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    sizes = supplier_traces(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 16 and max(r["count"] for r in sizes) < 2 * TRACES
