@@ -300,6 +300,31 @@ def exact_quantile(df: DataFrame, group: list[str], value: str, q: float, slack:
     return told.select(*group, "n", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("quantile"))
 
 
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], slack: float = 0.002) -> list[float]:
+    """Quantiles of a whole column, interpolated between neighbours; none without values. As ``exact_quantile``, for several at once: only rows in a bracket are ranked, each bracket by itself."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    at = [F.lit(x) for q in qs for x in (max(0.0, q - slack), min(1.0, q + slack))]
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", F.array(*at), F.lit(round(4 / slack))).alias("e"), F.min("_v").alias("a"), F.max("_v").alias("b")).first()
+    if not got.n:
+        return []
+    small = got.n * slack < 2  # few rows: a bracket takes all of them
+    ends = [(got.a if small or q <= slack else got.e[2 * i], got.b if small or q >= 1 - slack else got.e[2 * i + 1]) for i, q in enumerate(qs)]
+    inside = [F.col("_v").between(F.lit(a), F.lit(b)) for a, b in ends]
+    under = rows.agg(*[F.count_if(F.col("_v") < F.lit(a)).alias(f"u{i}") for i, (a, _) in enumerate(ends)]).first()
+    some = inside[0]
+    for c in inside[1:]:
+        some = some | c
+    counts = rows.where(some).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    each = counts.select("_v", "_c", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]))).alias("i"))
+    low = [math.floor(q * (got.n - 1)) for q in qs]
+    wanted = lambda ks: F.element_at(F.array(*[F.lit(k - under[f"u{i}"]) for i, k in enumerate(ks)]), F.col("i") + 1)
+    upto = F.sum("_c").over(Window.partitionBy("i").orderBy("_v"))
+    hit = lambda ks: F.min(F.when(F.col("_to") > wanted(ks), F.col("_v")))
+    told = {r.i: (r.a, r.b) for r in each.withColumn("_to", upto).groupBy("i").agg(hit(low).alias("a"), hit([min(k + 1, got.n - 1) for k in low]).alias("b")).collect()}
+    share = [q * (got.n - 1) - k for q, k in zip(qs, low)]
+    return [a if f == 0 or a == b else (1 - f) * a + f * b for f, (a, b) in zip(share, (told[i] for i in range(len(qs))))]
+
+
 def thresholds(reference: DataFrame, key: str, features: list[str], scales: dict[str, float], by: str, weights: dict[str, float] | None = None, q: float = 0.95) -> DataFrame:
     """``(class, n, threshold)``: the ``q`` quantile of each reference row's distance to the nearest other row of its class."""
     own = nearest(reference, reference, key, features, scales, by, weights, among_itself=True)

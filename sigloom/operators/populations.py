@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .coverage import exact_quantile, exact_quantiles
+
 #: Ranges of a value that are ranked side by side.
 RANGES = 64
 
@@ -96,14 +98,13 @@ def distances(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
-    """The different edges of ``bins`` equally full bins, from one exact aggregate (bounded by the distinct values an executor counts)."""
-    got = df.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first().e
-    return sorted(set(got or []))
+    """The different edges of ``bins`` equally full bins, exact, without gathering the values."""
+    return sorted(set(exact_quantiles(df, value, [i / bins for i in range(bins + 1)])))
 
 
 def _bin(value: Column, edges: list[float]) -> Column:
     """0.. by half-open bins, the last one closed; null outside."""
-    inner = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[1:-1]]) if len(edges) > 2 else F.array().cast("array<double>"), lambda e: e <= value))
+    inner = sum(((value >= F.lit(float(e))).cast("int") for e in edges[1:-1]), F.lit(0))
     return F.when(value.between(edges[0], edges[-1]), inner)
 
 
@@ -113,7 +114,10 @@ def binned_median(df: DataFrame, x: str, y: str, bins: int = 10, least: int = 3)
     kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if len(edges) < 2:
         return kept.limit(0).select(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n"), F.col(x).alias("median_x"), F.col(y).alias("median_y"))
-    return kept.groupBy(_bin(F.col(x), edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.percentile(x, F.lit(0.5)).alias("median_x"), F.percentile(y, F.lit(0.5)).alias("median_y")).where(F.col("n") >= least)
+    binned = kept.select(_bin(F.col(x), edges).alias("bin"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    median = lambda c: exact_quantile(binned, ["bin"], c, 0.5)
+    told = median("_x").select("bin", "n", F.col("quantile").alias("median_x")).join(median("_y").select(F.col("bin").alias("_b"), F.col("quantile").alias("median_y")), F.col("bin").eqNullSafe(F.col("_b")))
+    return told.select("bin", "n", "median_x", "median_y").where(F.col("n") >= least)
 
 
 def support_grid(df: DataFrame, x: str, y: str, supported: Column, x_edges: list[float], y_edges: list[float]) -> DataFrame:

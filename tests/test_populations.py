@@ -81,3 +81,22 @@ def test_an_event_far_beyond_the_span_makes_no_cells(spark):
     events = spark.createDataFrame([("a", 85, 1 << 60), ("a", -(1 << 60), 12), ("b", 0, 1 << 60)], "k string, start long, end long")
     got = sorted((r.k, r.start) for r in C.free_windows(spans, events, "k", 10, 10, 0).collect())
     assert got == [("a", 20), ("a", 30), ("a", 40), ("a", 50), ("a", 60), ("a", 70)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 11, 3000])
+def test_edges_and_medians_gather_no_bin(spark, n):
+    """Edges and medians are numpy's; no aggregate holds all values of the column or of a bin."""
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=n) * 1e3, rng.integers(0, 50, n).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0)], "x double, y double").repartition(5)
+    edges = P.quantile_edges(df, "x", 10)
+    assert np.allclose(edges, np.unique(np.quantile(x, np.arange(11) / 10)), rtol=1e-12, atol=0)
+    if n < 11:
+        return
+    out = P.binned_median(df, "x", "y")
+    at = np.minimum(np.searchsorted(edges, x, side="right") - 1, 9)
+    want = {k: (int((at == k).sum()), np.median(x[at == k]), np.median(y[at == k])) for k in range(10) if (at == k).sum() >= 3}
+    got = {r.bin: (r.n, r.median_x, r.median_y) for r in out.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" in plan and "percentile(" not in plan
