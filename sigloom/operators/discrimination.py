@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import resampling
+from .staging import Staging
 
 #: Groups of a class that are dealt in one window.
 DEALT = 1 << 16
@@ -49,21 +50,24 @@ def _prepared(df: DataFrame, folded: DataFrame, group: str, label: str, features
 
 
 def softmax_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Loss, gradient (classes, inputs) and curvature of a weighted multinomial logistic model over some rows."""
-    z = x @ theta.T
-    z -= z.max(1, keepdims=True)
-    e = np.exp(z)
-    p = e / e.sum(1, keepdims=True)
+    """Loss, gradient (classes, inputs) and curvature of a weighted multinomial logistic model over some rows.
+
+    Inputs and classes are few and rows are many, so that everything is worked out along the rows: a row of ``x.T`` for each input.
+    """
+    t = np.ascontiguousarray(x.T)
     k, d = theta.shape
-    loss = -float(w @ np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)))
-    off = p.copy()
-    off[np.arange(len(y)), y] -= 1
-    g = (off * w[:, None]).T @ x
+    z = theta @ t
+    z -= z.max(0)
+    p = np.exp(z, out=z)
+    p /= p.sum(0)
+    true = np.arange(k)[:, None] == y
+    loss = -float(w @ np.log(np.maximum(p.sum(0, where=true), 1e-300)))
+    wp = p * w
+    g = (wp - np.where(true, w, 0.0)) @ t.T
     h = np.empty((k, d, k, d))
     for a in range(k):
         for b in range(a, k):
-            v = w * p[:, a] * ((a == b) - p[:, b])
-            h[a, :, b] = (x * v[:, None]).T @ x
+            h[a, :, b] = (t * (wp[a] * (1 - p[a]) if a == b else -wp[a] * p[b])) @ t.T
             h[b, :, a] = h[a, :, b].T
     return loss, g, h.reshape(k * d, k * d)
 
@@ -114,6 +118,7 @@ def train(rows: DataFrame, sets: list[list[int]], outs: list[int | None], k: int
     per_class = np.where(of_class > 0, of_class.sum(1, keepdims=True) / np.maximum((of_class > 0).sum(1, keepdims=True), 1) / np.maximum(of_class, 1), 0.0)
     models = [_Model(s, o, k) for s in sets for o in outs]
     place = {o: m for m, o in enumerate(outs)}
+    every = list(range(n_features))
     for _ in range(rounds):
         open_ = [(i, m.columns, m.out, m.theta) for i, m in enumerate(models) if not m.done]
         if not open_ or not seen:
@@ -124,10 +129,14 @@ def train(rows: DataFrame, sets: list[list[int]], outs: list[int | None], k: int
             for b in batches:
                 fold, y = b.column(0).to_numpy(), b.column(1).to_numpy()
                 x = np.stack([b.column(2 + i).to_numpy() for i in range(n_features)], 1)
+                told_apart: dict = {}  # rows that a model learns from, by the fold left out: as inputs, classes and weights
                 for i, columns, out, theta in open_:
-                    keep = fold != out if out is not None else np.ones(len(y), bool)
                     m = place[out]
-                    loss, g, h = softmax_sums(_inputs(x[keep], columns, center[m], scale[m]), y[keep], per_class[m][y[keep]], theta)
+                    if m not in told_apart:
+                        keep = np.flatnonzero(fold != out) if out is not None else np.arange(len(y))
+                        told_apart[m] = np.ascontiguousarray(_inputs(x[keep], every, center[m], scale[m]).T), y[keep], per_class[m][y[keep]]
+                    given, truth, weight = told_apart[m]
+                    loss, g, h = softmax_sums(given[[*columns, -1]].T, truth, weight, theta)
                     told = np.concatenate([[loss], g.reshape(-1), h.reshape(-1)])
                     total[i] = total[i] + told if i in total else told
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tolist() for t in total.values()], pa.list_(pa.float64()))], names=["model", "s"])
@@ -156,8 +165,10 @@ def held_out_predictions(df: DataFrame, group: str, label: str, features: list[s
     schema = f"`{group}` {kind[group]}, fold int, contract string, truth {kind[label]}, predicted {kind[label]}"
     if len(kinds) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    rows = _prepared(df, group_folds(df, group, label, folds), group, label, features, kinds)
     told = [[features.index(c) for c in s] for s in sets.values()]
+    with Staging(df.sparkSession, "folds") as st:
+        folded = st.keep(group_folds(df, group, label, folds))  # a row for each group: not worked out anew in each step
+    rows = _prepared(df, folded, group, label, features, kinds)
     models, center, scale = train(rows, told, list(range(folds)), len(kinds), len(features), penalty)
     names, n_features = list(sets), len(features)
     known = [(names[i // folds], m.columns, m.out, m.theta) for i, m in enumerate(models)]

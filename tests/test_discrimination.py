@@ -96,3 +96,11 @@ def test_one_class_odd_values_and_empty_tables(spark):
         assert out.collect() == [] and D.contract_scores(out, "grp", 5).collect() == []
     flat = D.held_out_predictions(df.withColumn("x", F.lit(1.0)), "grp", "label", ["x"], {"x": ["x"]}, folds=2)
     assert flat.count() == 60
+
+
+def test_folds_are_worked_out_once(spark):
+    """Steps and predictions read the dealt folds; the groups are not counted anew in each."""
+    df = spark.createDataFrame([(i % 20, "ab"[(i * 7 + i // 20) % 2], float(i % 13)) for i in range(400)], "g long, c string, x double")
+    told = D.held_out_predictions(df, "g", "c", ["x"], {"x": ["x"]})
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count() == 400 and "Aggregate" not in plan and "Window" not in plan
