@@ -212,10 +212,12 @@ def clamped_crop(a: Column, center: Column, length: int) -> Column:
 
 def gaussian_tone(n: int, fs: float, amplitude: Column, frequency: Column, sigma_s: Column, center: Column, phase: Column) -> Column:
     """Gaussian envelope times a cosine, sampled n times."""
-    import math
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: gaussian_at(i, fs, amplitude, frequency, sigma_s, center, phase))
+
 
-    def at(i: Column) -> Column:
-        t = (i - center) / fs
-        return amplitude * F.exp(-0.5 * F.pow(t / sigma_s, F.lit(2.0))) * F.cos(2 * math.pi * frequency * t + phase)
+def gaussian_at(i: Column, fs: float, amplitude: Column, frequency: Column, sigma_s: Column, center: Column, phase: Column) -> Column:
+    """Sample ``i`` of ``gaussian_tone``."""
+    import math
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+    t = (i - center) / fs
+    return amplitude * F.exp(-0.5 * F.pow(t / sigma_s, F.lit(2.0))) * F.cos(2 * math.pi * frequency * t + phase)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning as L
 from ..operators import detectors as D
-from .queries import rounded, supplier_traces, table
+from .queries import rounded, supplier_arrays, supplier_traces, table
 from .registry import query
 
 
@@ -53,7 +53,7 @@ def replaced_traces(spark, sf_dir):
 
 @query("repaired_traces")
 def repaired_traces(spark, sf_dir):
-    t = supplier_traces(spark, sf_dir)
+    t = supplier_arrays(spark, sf_dir)
     carrier = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: 0.001 * F.cos(i * 0.2))
     regions = t.select("s_suppkey", F.lit(500).alias("outer_start"), F.lit(900).alias("outer_end"), F.lit(600).alias("core_start"), F.lit(800).alias("core_end"), carrier.alias("carrier"))
     done = L.repaired(t, regions, "s_suppkey", "signal", domain="filtered")

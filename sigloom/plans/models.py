@@ -13,20 +13,20 @@ from ..operators import discrimination as D
 from ..operators import fits as L
 from ..operators import normality as N
 from ..operators import resampling as R
-from .queries import rounded, supplier_traces, table
+from ..operators.detectors import sampled_traces
+from .queries import SAMPLES, rounded, spread_suppliers, supplier_sample, table
 from .registry import query
 
 
 @query("envelope_fits")
 def envelope_fits(spark, sf_dir):
     """One lobe or two in each supplier's trace; the second burst's height and delay follow the nation and the balance."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    s = spread_suppliers(spark, sf_dir).select("s_suppkey", "s_nationkey", "s_acctbal").where(F.col("s_suppkey").isNotNull())
     key = F.col("s_suppkey")
     middle = 1000.0 + F.pmod(key * 37, F.lit(2000))
-    second = X.gaussian_tone(4096, 2e6, F.pmod("s_nationkey", F.lit(5)) / 5.0, 20000.0 + F.pmod(key, F.lit(30)) * 1000.0, F.lit(8e-5), middle + 400 + F.pmod(F.abs("s_acctbal"), F.lit(400.0)), F.lit(0.0))
-    # traces are wide: they are met by key, not broadcast
-    t = supplier_traces(spark, sf_dir).hint("merge").join(s, "s_suppkey").withColumns({"middle": middle, "second": second})
-    both = t.select("s_suppkey", F.zip_with("signal", "second", lambda a, b: a + b).alias("signal"), (F.col("middle") - 500).alias("start"), (F.col("middle") + 1100).alias("end"))
+    second = lambda i: X.gaussian_at(i, 2e6, F.pmod("s_nationkey", F.lit(5)) / 5.0, 20000.0 + F.pmod(key, F.lit(30)) * 1000.0, F.lit(8e-5), middle + 400 + F.pmod(F.abs("s_acctbal"), F.lit(400.0)), F.lit(0.0))
+    t = sampled_traces(s, "signal", SAMPLES, lambda i: supplier_sample(i) + second(i))
+    both = t.select("s_suppkey", "signal", (middle - 500).alias("start"), (middle + 1100).alias("end"))
     told = L.compared(L.envelope_fits(both, "s_suppkey", "signal", "start", "end"))
     fit = told.select("s_suppkey", "n_points", F.col("one.center_ms").alias("center_ms"), "bic1", "bic2", "resolvability", "log_height_ratio", "delay_ms", "resolved", "weight", "reason")
     return rounded(fit, "center_ms", "log_height_ratio", "delay_ms", "resolvability", "weight", "bic1", "bic2", digits=4)

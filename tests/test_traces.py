@@ -165,3 +165,21 @@ def test_traces_are_made_in_many_tasks(spark, tmp_path):
     spark.range(4 * TRACES * 4).selectExpr("id as s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     sizes = supplier_traces(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 16 and max(r["count"] for r in sizes) < 2 * TRACES
+
+
+def test_sampled_traces_are_those_of_one_expression(spark, tmp_path):
+    """Samples worked out as compiled rows are the bits of the lambda over an array; other columns stay with their trace."""
+    from sigloom.plans.queries import supplier_arrays, supplier_traces
+
+    spark.range(70).selectExpr("IF(id = 5, NULL, id * 911) as s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = lambda df: sorted(((r.s_suppkey is not None, r.s_suppkey), r.signal) for r in df.collect())
+    made = supplier_traces(spark, str(tmp_path))
+    assert [x for x in rows(made.where("s_suppkey is not null"))] == [x for x in rows(supplier_arrays(spark, str(tmp_path)).where("s_suppkey is not null"))]
+    assert [r.signal for r in made.where("s_suppkey is null").collect()] == [[None] * 4096]
+    assert "transform(" not in made._jdf.queryExecution().executedPlan().toString()  # no lambda is interpreted
+    df = spark.createDataFrame([(1, [2, 3]), (1, [2, 3]), (2, None), (None, [])], "k int, spans array<int>")
+    for n in (1, 7, 11, 24):
+        got = D.sampled_traces(df.coalesce(1), "x", n, lambda i: i * F.coalesce("k", F.lit(5))).collect()
+        assert [(r.k, r.spans) for r in got] == [(1, [2, 3]), (1, [2, 3]), (2, None), (None, [])]
+        assert [r.x for r in got] == [[float(i * k) for i in range(n)] for k in (1, 1, 2, 5)]
+    assert D.sampled_traces(df.where("k > 9"), "x", 7, lambda i: i).collect() == []
