@@ -25,7 +25,7 @@ def envelope_fits(spark, sf_dir):
     key = F.col("s_suppkey")
     middle = 1000.0 + F.pmod(key * 37, F.lit(2000))
     second = lambda i: X.gaussian_at(i, 2e6, F.pmod("s_nationkey", F.lit(5)) / 5.0, 20000.0 + F.pmod(key, F.lit(30)) * 1000.0, F.lit(8e-5), middle + 400 + F.pmod(F.abs("s_acctbal"), F.lit(400.0)), F.lit(0.0))
-    t = sampled_traces(s, "signal", SAMPLES, lambda i: supplier_sample(i) + second(i))
+    t = sampled_traces(s, "signal", SAMPLES, lambda i: supplier_sample(i) + second(i), wide=8)
     both = t.select("s_suppkey", "signal", (middle - 500).alias("start"), (middle + 1100).alias("end"))
     told = L.compared(L.envelope_fits(both, "s_suppkey", "signal", "start", "end"))
     fit = told.select("s_suppkey", "n_points", F.col("one.center_ms").alias("center_ms"), "bic1", "bic2", "resolvability", "log_height_ratio", "delay_ms", "resolved", "weight", "reason")

@@ -183,3 +183,26 @@ def test_sampled_traces_are_those_of_one_expression(spark, tmp_path):
         assert [(r.k, r.spans) for r in got] == [(1, [2, 3]), (1, [2, 3]), (2, None), (None, [])]
         assert [r.x for r in got] == [[float(i * k) for i in range(n)] for k in (1, 1, 2, 5)]
     assert D.sampled_traces(df.where("k > 9"), "x", 7, lambda i: i).collect() == []
+
+
+@pytest.mark.parametrize("name", ["event_descriptors", "detected_events", "noise_summary", "saturation_scan", "sliding_spectra", "band_energy"])
+def test_traces_cross_to_python_once(spark, small, name):
+    """The call that uses the traces packs them too, and gives the rows that it gives over the table of traces."""
+    from sigloom.plans import queries, registry
+
+    made = registry.QUERIES[name](spark, small)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "supplier_samples", queries.supplier_traces)
+        over_table = registry.QUERIES[name](spark, small)
+    assert over_table._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    rows = sorted(map(tuple, made.collect()))
+    assert rows and rows == sorted(map(tuple, over_table.collect()))
+
+
+def test_operators_pass_over_traces_without_samples(spark):
+    """Traces whose samples are null, and tables without rows, give no rows."""
+    rows = spark.createDataFrame([(1, 2.0), (2, None), (None, 3.0)], "k int, y double")
+    at = lambda i: F.sin(i * 0.7) * F.col("y")
+    assert sorted((r.k is not None, r.k, r.band) for r in D.band_energy(D.Sampled(rows, "x", 64, at), "k", "x", 2e6, [("all", 0.0, 1e6)]).collect()) == [(False, None, "all"), (True, 1, "all")]
+    assert D.band_energy(D.Sampled(rows.where("k > 9"), "x", 64, at), "k", "x", 2e6, [("all", 0.0, 1e6)]).collect() == []
