@@ -206,3 +206,19 @@ def test_operators_pass_over_traces_without_samples(spark):
     at = lambda i: F.sin(i * 0.7) * F.col("y")
     assert sorted((r.k is not None, r.k, r.band) for r in D.band_energy(D.Sampled(rows, "x", 64, at), "k", "x", 2e6, [("all", 0.0, 1e6)]).collect()) == [(False, None, "all"), (True, 1, "all")]
     assert D.band_energy(D.Sampled(rows.where("k > 9"), "x", 64, at), "k", "x", 2e6, [("all", 0.0, 1e6)]).collect() == []
+
+
+def test_sliding_windows_are_those_of_one_at_a_time(monkeypatch):
+    """The windows of a trace are transformed together, with a taper made once; levels are the bits of single windows."""
+    made = []
+    hamming = dsp.hamming
+    monkeypatch.setattr(dsp, "hamming", lambda n: made.append(n) or hamming(n))
+    c = D.Detection()
+    x = np.stack([trace(4000, 11500), trace(9000, seed=7)])
+    got = D._sliding(c, 1024, 256, 3, 1000.0, 0.5e-3)(x, None)
+    assert made == [1024] and all(got)
+    f = np.fft.rfftfreq(1024, 1 / c.fs)
+    for y, found in zip(D.filtered(x, c), got):
+        energies = [float((np.abs(np.fft.rfft(y[i * 256 : i * 256 + 1024] * hamming(1024)))[f <= c.high] ** 2).sum()) for i in range(len(y) // 256 - 3)]
+        assert all(r["energy"] == energies[r["window"]] and r["noise_floor"] == float(np.mean(np.sort(energies)[:3])) for r in found)
+    assert D._sliding(c, 1024, 256, 3, 1000.0, 0.5e-3)(x[:, :100], None) == [[], []]
