@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning as L
 from ..operators import detectors as D
-from .queries import rounded, supplier_arrays, supplier_traces, table
+from .queries import rounded, supplier_arrays, supplier_samples, table
 from .registry import query
 
 
@@ -63,7 +63,7 @@ def repaired_traces(spark, sf_dir):
 
 @query("deblended_events")
 def deblended_events(spark, sf_dir):
-    return D.deblended_events(supplier_traces(spark, sf_dir), "s_suppkey", "signal")
+    return D.deblended_events(supplier_samples(spark, sf_dir), "s_suppkey", "signal")
 
 
 @query(
